@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, phrases
+from . import bpe, multimatch, phrases, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_multimatch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multimatch.link(_table(spark, sf_dir, "documents"), width=3, num=90, den=100).drop("class_id")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -20,5 +24,9 @@ def op8_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.fingerprint_successors(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op6_bpe, op8_phrase_fingerprints)}
+def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_multimatch_join, op6_bpe, op8_phrase_fingerprints, op9_weak_supervision)}
 ORACLE_SQL: dict[str, str] = {}

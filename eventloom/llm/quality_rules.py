@@ -22,8 +22,8 @@ from .tables import settle
 
 SPACE = r"[\x20\x09-\x0D]+"
 WINDOW = 8
-#: Rounds of expectation-maximisation.
-ROUNDS = 25
+#: Rounds of expectation-maximisation at most, and the change below which it ends.
+ROUNDS, CHANGE = 25, 1e-4
 #: First values, which are also the means of the accuracies' priors: a rule seldom
 #: votes bad on a good text, and knows one kind of bad text among several.
 FIRST_PRIOR, FIRST_GOOD, FIRST_BAD = 0.85, 0.995, 0.2
@@ -97,10 +97,12 @@ def fit(votes: DataFrame, names: list[str], *, rounds: int = ROUNDS) -> dict[str
         if not s["n"]:
             return p
         ratio = lambda x, y, mean, weight: ((x or 0.0) + mean * weight * s["n"]) / ((y or 0.0) + weight * s["n"])
-        p = {"prior": (s["prior"] + 1) / (s["n"] + 2)}
+        old, p = p, {"prior": (s["prior"] + 1) / (s["n"] + 2)}
         for r in names:
             p[f"good_{r}"] = ratio(s[f"gg_{r}"], s[f"g_{r}"], FIRST_GOOD, WEIGHT_GOOD)
             p[f"bad_{r}"] = ratio(s[f"bb_{r}"], s[f"b_{r}"], FIRST_BAD, WEIGHT_BAD)
+        if max(abs(p[k] - old[k]) for k in p) < CHANGE:
+            break
     return p
 
 

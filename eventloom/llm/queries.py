@@ -2,24 +2,48 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, multimatch, phrases, quality_rules
+from . import bpe, hmm, mixing, multimatch, neighbours, phrases, quality_rules, style_tree, toxicity, url_filter
+from .url_filter import Rule
+
+URL_RULES = [Rule("com", "/en/", "block"), Rule("example.com", "/en/7", "allow"), Rule("net", "/de/", "allow"), Rule("example.net", "/de/8", "block"), Rule("org", "/es/", "block")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def op2_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return style_tree.extract(_table(spark, sf_dir, "pages"))
+
+
 def op3_multimatch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multimatch.link(_table(spark, sf_dir, "documents"), width=3, num=90, den=100).drop("class_id")
 
 
+def op4_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(_table(spark, sf_dir, "documents"))
+
+
 def op8_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.fingerprint_successors(_table(spark, sf_dir, "documents"))
 
@@ -28,5 +52,9 @@ def op9_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_multimatch_join, op6_bpe, op8_phrase_fingerprints, op9_weak_supervision)}
-ORACLE_SQL: dict[str, str] = {}
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_style_tree, op3_multimatch_join, op4_toxicity_grammar, op5_source_mix, op6_bpe, op7_hidden_markov, op8_phrase_fingerprints, op9_weak_supervision, op10_nearest_neighbours)} | {"pipeline": corpus_pipeline.run}
+ORACLE_SQL: dict[str, str] = {} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

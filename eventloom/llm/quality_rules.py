@@ -88,12 +88,13 @@ def fit(votes: DataFrame, names: list[str], *, rounds: int = ROUNDS) -> dict[str
     patterns = settle(votes.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "patterns")
     p = {"prior": FIRST_PRIOR} | {f"good_{r}": FIRST_GOOD for r in names} | {f"bad_{r}": FIRST_BAD for r in names}
     for _ in range(rounds):
-        good = posterior(p, names)
-        w, v = F.col("n") * good, F.col("n") * (1 - good)
+        # The posterior is a column of its own below the sums, not a part of each of them.
+        now = patterns.withColumn("good", posterior(p, names))
+        w, v = F.col("n") * F.col("good"), F.col("n") * (1 - F.col("good"))
         sums = [F.sum(w).alias("prior"), F.sum("n").alias("n")]
         for r in names:
             sums += [F.sum(F.when(F.col(r) == 1, w)).alias(f"gg_{r}"), F.sum(F.when(F.col(r) != 0, w)).alias(f"g_{r}"), F.sum(F.when(F.col(r) == -1, v)).alias(f"bb_{r}"), F.sum(F.when(F.col(r) != 0, v)).alias(f"b_{r}")]
-        s = patterns.agg(*sums).first().asDict()
+        s = now.agg(*sums).first().asDict()
         if not s["n"]:
             return p
         ratio = lambda x, y, mean, weight: ((x or 0.0) + mean * weight * s["n"]) / ((y or 0.0) + weight * s["n"])
@@ -117,9 +118,9 @@ def posterior(p: dict[str, float], names: list[str]) -> Column:
 
 def judge(docs: DataFrame, *, key: str = "doc_id", text: str = "text", keep: float = KEEP) -> DataFrame:
     """Measures, base_failed, posterior and kept of every text."""
-    names = list(rules())
-    voted = settle(measures(docs, key, text).select("*", *(v.alias(f"vote_{r}") for r, v in rules().items())), "votes")
-    names = [f"vote_{r}" for r in names]
+    measured = settle(measures(docs, key, text), "measures")
+    voted = measured.select("*", *(v.alias(f"vote_{r}") for r, v in rules().items()))
+    names = [f"vote_{r}" for r in rules()]
     p = fit(voted, names)
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     out = voted.select("*", failed.alias("base_failed"), posterior(p, names).alias("posterior"))

@@ -124,6 +124,8 @@ def blocks(page: str, seen: Counter | None = None) -> Iterator[tuple[str, float,
         if found is None:
             found = labels[tag, m[3]] = _label(tag, m[3])
         label, weight = found
+        if tag == "header" and weight == PLAIN and not (stack and stack[-1][3] == MAIN):
+            weight = NOISE  # of the site; an article's own has its title
         if stack:
             up = stack[-1]
             if len(up[4]) < 64 and (not up[4] or up[4][-1] != label):

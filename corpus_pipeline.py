@@ -48,7 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of every document, and the digests of ids and decoded text."""
-    return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"), ids=True).drop("decoded")
+    return bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.json"), ids=True, decode=False).drop("decoded")
 
 
 STAGES = [

@@ -30,10 +30,13 @@ import re
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from . import textarrays as ta
+
 #: Splits a text before the merges, as byte-level tokenizers do.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The same for texts of the characters of PLAIN, where re's classes are those of Unicode; it is faster.
@@ -317,11 +320,11 @@ def vocabulary(path: str) -> bytes:
         return f.read()
 
 
-def encode_decode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", ids: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str = "text", ids: bool = False, decode: bool = True) -> DataFrame:
     """Encode every text and decode its ids again.
 
     Returns ``key``, n_tokens, ids_sha256 and decoded_sha256, and with ``ids``
-    also token_ids (array of int) and decoded.  ``path`` is a tokenizer file that
+    also token_ids (array of int) and decoded (null without ``decode``).  ``path`` is a tokenizer file that
     the driver reads; its content goes to the executors.
     """
     blob = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
@@ -331,14 +334,20 @@ def encode_decode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(blob.value)
-        for b in batches:
-            at = b.column(1)
-            found = [digests(tok, at[i].as_py() or "") for i in range(len(b))]
-            n, a, d = zip(*found) if found else ((), (), ())
-            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
-            if ids:
-                all_ids = [tok.encode_ids(at[i].as_py() or "") for i in range(len(b))]
-                cols += [pa.array(all_ids, pa.list_(pa.int32())), pa.array([tok.decode(x) for x in all_ids], pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=[key, "n_tokens", "ids_sha256", "decoded_sha256", *(["token_ids", "decoded"] if ids else [])])
+        names = [key, "n_tokens", "ids_sha256", "decoded_sha256", *(["token_ids", "decoded"] if ids else [])]
+        for whole in batches:
+            _, off = ta.buffers(whole.column(1))
+            for i, j in ta.pieces(off):
+                b = whole.slice(i, j - i)
+                texts = [t or "" for t in b.column(1).to_pylist()]
+                n, a, d = zip(*(digests(tok, t) for t in texts))
+                cols = [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
+                if ids:
+                    flat = [b"".join(tok.encode(t)) for t in texts]
+                    ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in flat])))
+                    decoded = [tok.decode(memoryview(x).cast("I").tolist()) for x in flat] if decode else [None] * len(flat)
+                    cols += [ta.list_array(np.frombuffer(b"".join(flat), np.int32), ends), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+        ta.release()
 
     return rows.mapInArrow(run, schema)

@@ -10,19 +10,29 @@ share one with a chance of 2**-64 a pair.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are worked on at once; a longer single text is one chunk.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
+def release() -> None:
+    """Give memory that a task no longer uses back to the system; workers live on and serve other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, elementwise on uint64."""
     x = x + _U(0x9E3779B97F4A7C15)

@@ -1,7 +1,7 @@
 """Set similarity join on word shingles with adaptive multi-match prefixes.
 
 Each text is the set of its distinct word shingles.  Tokens have one order for
-all texts, rare ones first, by a sketch of their counts over the whole corpus.
+all texts, rare ones first, by sketches of the whole corpus.
 A text of n tokens that needs an overlap of o with any partner may take as prefix
 its first n - o + k tokens for any k: two linked texts then share at least the
 smaller of their two k among their prefixes.  Each text picks the k whose
@@ -13,8 +13,12 @@ on the whole sets.
 Texts with equal sets are one class, and only classes are joined.  No group's
 pairs are listed: in each posting list all classes first meet one leader (the one
 that shares most of its prefix with others), links made so far are contracted to
-components, and only pairs of different components are compared after that.  This
-gives all links up to reachability, so the components are exact.
+components, and only pairs of different components are compared after that: pair by
+pair in short lists, and in long ones by a prefix join on the differences from the
+leader.  This gives all links up to reachability, so the components are exact.
+
+Joins of tables that grow with the corpus are sort-merge joins at every size, whose
+hot keys adaptive execution deals out.
 """
 
 from __future__ import annotations
@@ -23,19 +27,22 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textarrays as ta
 from .components import connected_components
 from .tables import discard, settle
 
-SKETCH_BITS, SKETCH_PARTS = 20, 64
+SKETCH_BITS, SKETCH_PARTS = 21, 128
+#: Bits of the filter on keys whose texts are read again.
+FILTER_BITS = 24
 #: The largest k of the prefixes.
 MOST_MATCHES = 4
-#: Rounds in which a posting list's classes meet its leader, before all pairs of different components.
-LEADER_ROUNDS = 2
+#: Lists of more classes than this are not joined pair by pair but by differences from their leader.
+LIGHT = 24
 
 _U = np.uint64
 
@@ -57,15 +64,61 @@ def _digests(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out[0], out[1]
 
 
-def count_sketch(texts: DataFrame, width: int) -> np.ndarray:
-    """How many of all texts' distinct shingles fall in each of 2**SKETCH_BITS bins; a vector of fixed size."""
+class Rarity:
+    """How many texts a shingle is expected in, from two sketches of the whole corpus, of fixed size.
+
+    One counts the texts' distinct shingles in 2**SKETCH_BITS bins, which shows the
+    passages that many texts share; the other counts words, whose shares multiply to
+    what shingles of common words come to by chance.
+    """
+
+    def __init__(self, shingles: np.ndarray, words: np.ndarray):
+        middle = float(np.median(shingles))
+        usual = middle + 3 * np.sqrt(middle) + 1
+        self.excess = np.maximum(shingles - usual, 0).astype(np.float32)
+        self.log_words = np.log(np.maximum(words, 1)).astype(np.float32)
+        self.log_total = float(np.log(max(words.sum(), 1)))
+
+    def __call__(self, shingles: np.ndarray, by_chance: np.ndarray) -> np.ndarray:
+        return self.excess[(shingles >> _U(64 - SKETCH_BITS)).astype(np.int64)] + by_chance
+
+    def by_chance(self, keys: np.ndarray, rows: np.ndarray, width: int) -> np.ndarray:
+        """Expected count of each run of ``width`` words, in the order of shingle_keys; 0 for shorter texts."""
+        logs = self.log_words[(keys >> _U(64 - SKETCH_BITS)).astype(np.int64)]
+        counts = np.diff(rows)
+        many = np.where(counts >= width, counts - width + 1, (counts > 0).astype(np.int64))
+        first = np.repeat(rows[:-1] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        full = np.repeat(counts >= width, many)
+        out = np.zeros(len(first))
+        for k in range(width):
+            out[full] += logs[first[full] + k]
+        return np.where(full, np.exp(out - (width - 1) * self.log_total), 0.0)
+
+
+def measure_rarity(texts: DataFrame, width: int) -> Rarity:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins = np.zeros(1 << SKETCH_BITS, np.int64)
+        bins = np.zeros((2, 1 << SKETCH_BITS), np.int32)
+        held: tuple[list, list] = ([], [])
+
+        def add_up() -> None:
+            for one, keys in zip(bins, held):
+                if keys:
+                    at, n = np.unique(np.concatenate(keys), return_counts=True)
+                    one[at] += n.astype(np.int32)
+                    keys.clear()
+
         for b in batches:
-            for _, _, keys, _ in _sets(b, 0, width):
-                bins += np.bincount((keys >> _U(64 - SKETCH_BITS)).astype(np.int64), minlength=len(bins))
+            data, off = ta.buffers(b.column(0))
+            for i, j in ta.pieces(off):
+                keys, rows = ta.word_keys(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                for to, found in zip(held, (ta.distinct_sorted(*ta.shingle_keys(keys, rows, width))[0], keys)):
+                    to.append((found >> _U(64 - SKETCH_BITS)).astype(np.int32))
+                if sum(map(len, held[0])) > 1_000_000:
+                    add_up()
+        add_up()
+        ta.release()
         if bins.any():
-            parts = np.minimum(bins, 2**31 - 1).astype(np.int32).reshape(SKETCH_PARTS, -1)
+            parts = bins.reshape(SKETCH_PARTS, -1)
             yield pa.RecordBatch.from_arrays([pa.array(range(SKETCH_PARTS), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=["part", "bins"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,20 +131,20 @@ def count_sketch(texts: DataFrame, width: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in sums.values()], pa.binary())], names=["part", "bins"])
 
     rows = texts.mapInArrow(count, "part int, bins binary").repartition("part").mapInArrow(add, "part int, bins binary").collect()
-    out = np.zeros((SKETCH_PARTS, (1 << SKETCH_BITS) // SKETCH_PARTS), np.int64)
+    out = np.zeros((SKETCH_PARTS, (2 << SKETCH_BITS) // SKETCH_PARTS), np.int64)
     for r in rows:
         out[r["part"]] += np.frombuffer(zlib.decompress(r["bins"]), np.int64)
-    return out.ravel()
+    shingles, words = out.reshape(2, -1)
+    return Rarity(shingles, words)
 
 
-def _prefix(keys: np.ndarray, counts: np.ndarray, usual: float, num: int, den: int) -> tuple[int, np.ndarray]:
-    """k and the prefix of one set."""
+def _prefix(keys: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[int, np.ndarray]:
+    """k and the prefix of one set: rare tokens first, and the k of the least estimated cost."""
     n = len(keys)
     need = -(-num * n // den)
     order = np.lexsort((keys, counts))
     most = min(MOST_MATCHES, need)
-    size = n - need + most
-    cost = np.cumsum(np.maximum(counts[order[:size]] - usual, 0.0))
+    cost = np.cumsum(counts[order[: n - need + most]])
     ks = np.arange(1, most + 1)
     ends = n - need + ks
     k = int(ks[np.argmin(cost[ends - 1] / ks + ends)])
@@ -111,21 +164,25 @@ def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
     """
     rows = docs.select(docs[key].cast("bigint").alias("key"), docs[text].cast("string").alias("text"))
     spark = docs.sparkSession
-    sketch = count_sketch(rows.select("text"), width)
-    usual = float(np.median(sketch)) + 3 * float(np.sqrt(np.median(sketch))) + 1
-    sent = spark.sparkContext.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
+    sent = spark.sparkContext.broadcast(measure_rarity(rows.select("text"), width))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bins = sent.value
+        rarity = sent.value
         for b in batches:
-            for i, j, keys, at in _sets(b, 1, width):
-                h1, h2 = _digests(keys, at)
-                counts = bins[(keys >> _U(64 - SKETCH_BITS)).astype(np.int64)]
-                ks, parts = [], []
-                for x, y in zip(at[:-1], at[1:]):
-                    k, p = _prefix(keys[x:y], counts[x:y], usual, num, den) if y > x else (0, keys[:0])
+            data, off = ta.buffers(b.column(1))
+            for i, j in ta.pieces(off):
+                words, rows_ = ta.word_keys(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                all_keys, at_ = ta.shingle_keys(words, rows_, width)
+                chance = rarity.by_chance(words, rows_, width)
+                ks, parts, sets = [], [], []
+                for x, y in zip(at_[:-1], at_[1:]):
+                    keys, first = np.unique(all_keys[x:y], return_index=True)
+                    sets.append(keys)
+                    k, p = _prefix(keys, rarity(keys, chance[x:y][first]), num, den) if y > x else (0, keys)
                     ks.append(k)
                     parts.append(p)
+                at = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+                h1, h2 = _digests(np.concatenate(sets), at)
                 ends = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(h1), pa.array(h2), pa.array(ks, pa.int32()), ta.list_array(np.concatenate(parts).view(np.int64), ends)], names=["key", "n", "h1", "h2", "k", "prefix"])
 
@@ -143,68 +200,143 @@ def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
         least = found.groupBy("root").agg(F.min("first_key").alias("component_id"))
         named = named.join(found.select("node", "root").join(least, "root").select("node", "component_id"), "node", "left").withColumn("component_id", F.coalesce("component_id", "first_key"))
     named = named.select("h1", "h2", F.col("first_key").alias("class_id"), "component_id")
-    out = ids.where("n > 0").join(named, ["h1", "h2"]).select("key", "n", "component_id", "class_id")
+    out = ids.where("n > 0").join(named.hint("merge"), ["h1", "h2"]).select("key", "n", "component_id", "class_id")
     out = out.unionByName(ids.where("n = 0").select("key", "n", F.col("key").alias("component_id"), F.col("key").alias("class_id")))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", "class_id")
 
 
 def _components(rows: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame | None:
     """(node, root) of the classes that have links; None without links."""
-    postings = classes.select("node", "n", "k", "copies", F.size("prefix").alias("size"), F.explode("prefix").alias("token"))
+    postings = classes.select("node", F.explode("prefix").alias("token"))
     common = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    shared = settle(postings.join(common, "token", "left_semi"), "shared")
+    shared = settle(postings.join(common.hint("merge"), "token", "left_semi"), "shared")
     # A class meets partners only if it shares k tokens at least; the leader of a list is the one that shares most.
-    able = shared.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.first("k").alias("k"), F.first("size").alias("size")).where("m >= k").select("node", (F.col("m") / F.col("size")).alias("hub"))
-    kept = settle(shared.drop("size").join(able, "node"), "postings")
+    able = shared.groupBy("node").agg(F.count(F.lit(1)).alias("m"))
+    able = able.join(classes.select("node", "n", "k", "copies", F.size("prefix").alias("size")).hint("merge"), "node").where("m >= k").select("node", "n", "k", "copies", (F.col("m") / F.col("size")).alias("hub"))
+    kept = settle(shared.join(able.hint("merge"), "node"), "postings")
     discard(shared)
     if kept.isEmpty():
         return None
-    sets = settle(_whole_sets(rows, classes.join(kept.select("node").distinct(), "node", "left_semi").select("node", F.col("first_key").alias("key"), "h1", "h2"), width), "sets")
-    links, roots, tested = None, None, None
-    for turn in range(LEADER_ROUNDS + 1):
-        lists = kept if roots is None else kept.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        if roots is not None:
-            mixed = lists.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-            lists = settle(lists.join(mixed, "token", "left_semi"), "mixed")
-            if lists.isEmpty():
-                break
-        else:
-            lists = lists.withColumn("root", F.col("node"))
-        fits = (F.col("n") * den >= F.col("n2") * num) & (F.col("n2") * den >= F.col("n") * num) & (F.col("root") != F.col("root2"))
-        pair = [F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"), F.least("k", "k2").alias("k")]
-        if turn < LEADER_ROUNDS:
-            rank = F.struct("hub", "copies", F.xxhash64("node", F.lit(turn)).alias("tie"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("k").alias("k2"), F.col("root").alias("root2"))
-            heads = lists.groupBy("token").agg(F.max(rank).alias("h")).select("token", "h.node2", "h.n2", "h.k2", "h.root2")
-        else:
-            heads = lists.select("token", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("k").alias("k2"), F.col("root").alias("root2"))
-            fits &= F.col("node") < F.col("node2")
-        met = lists.join(heads, "token").where(fits).select(*pair).groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.first("k").alias("k"))
-        if turn == LEADER_ROUNDS:
-            met = met.where("m >= k")
-        if tested is not None:
-            met = met.join(tested, ["a", "b"], "left_anti")
-        met = settle(met, "candidates")
-        if turn < LEADER_ROUNDS:
-            # A leader's lists don't show all tokens that the pair shares; these are counted on the two prefixes.
-            few, own = met.where("m < k"), classes.select("node", "prefix")
-            more = few.join(own.toDF("b", "pb"), "b").join(own.toDF("a", "pa"), "a").where(F.size(F.array_intersect("pa", "pb")) >= F.col("k")).select("a", "b")
-            ready = met.where("m >= k").select("a", "b").union(more)
-        else:
-            ready = met.select("a", "b")
-        both = ready.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
-        both = both.withColumn("i", F.size(F.array_intersect("sa", "sb")).cast("bigint")).where((F.size("sa") + F.size("sb") - F.col("i")) * num <= F.col("i") * den)
-        new = settle(both.select("a", "b"), "links")
-        if not new.isEmpty():
-            links = new if links is None else links.union(new)
-            roots = connected_components(links)
-        elif roots is None:
-            roots = kept.select("node", F.col("node").alias("root")).distinct()
-        tested = met.select("a", "b") if tested is None else tested.union(met.select("a", "b"))
-    return roots
-
-
-def _whole_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(node, keys) of the classes in wanted (node, key, h1, h2), from their texts."""
+    # First each list's classes meet its leader.
+    fits = (F.col("n") * den >= F.col("n2") * num) & (F.col("n2") * den >= F.col("n") * num)
+    pair = [F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"), F.least("k", "k2").alias("k")]
+    counted = lambda met: met.select(*pair).groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.first("k").alias("k"))
+    heads = _leaders(kept).select("token", "node2", "n2", "k2")
+    met = settle(counted(kept.join(heads.hint("merge"), "token").where(fits & (F.col("node") != F.col("node2")))), "candidates")
+    # A leader's lists don't show all tokens that the pair shares; these are counted on the two prefixes.
+    own = classes.select("node", "prefix")
+    more = met.where("m < k").join(own.toDF("b", "pb"), "b").join(own.toDF("a", "pa"), "a").where(F.size(F.array_intersect("pa", "pb")) >= F.col("k")).select("a", "b")
+    links = _verified(rows, classes, settle(met.where("m >= k").select("a", "b").union(more), "ready"), width, num, den)
+    roots = kept.select("node", F.col("node").alias("root")).distinct() if links.isEmpty() else connected_components(links)
+    # Then, in lists with several components, the pairs of different ones.
+    lists = kept.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = lists.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("c")).where("x <> y").select("token", "c")
+    lists = settle(lists.join(mixed.hint("merge"), "token"), "mixed")
+    light = lists.where(F.col("c") <= LIGHT)
+    others = light.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "k", "root")))
+    apart = (F.col("root") != F.col("root2")) & (F.col("node") < F.col("node2"))
+    near = counted(light.join(others.hint("merge"), "token").where(fits & apart)).where("m >= k").select("a", "b")
+    heavy = lists.where(F.col("c") > LIGHT)
+    if not heavy.isEmpty():
+        near = near.union(_by_differences(rows, classes, heavy, width, num, den))
+    near = settle(near.distinct().join(met.select("a", "b"), ["a", "b"], "left_anti"), "ready")
+    found = links.union(_verified(rows, classes, near, width, num, den))
+    return None if found.isEmpty() else connected_components(found)
+
+
+def _leaders(lists: DataFrame) -> DataFrame:
+    """For each token the class of its list that shares most of its prefix with others, has most copies, and is the first."""
+    rank = F.struct("hub", "copies", (-F.col("node")).alias("first"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("k").alias("k2"))
+    return lists.groupBy("token").agg(F.max(rank).alias("h")).select("token", "h.node2", "h.n2", "h.k2")
+
+
+def _verified(rows: DataFrame, classes: DataFrame, ready: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of ready, a settled table, that link."""
+    sets = _whole_sets(rows, classes, ready.select(F.col("a").alias("node")).union(ready.select("b")), width)
+    # Two sets share no more than the smaller count of each bin; most candidates end here, before their sets meet.
+    small = sets.select("node", F.size("keys").cast("bigint").alias("n"), "bins")
+    likely = ready.join(small.toDF("b", "nb", "hb").hint("merge"), "b").join(small.toDF("a", "na", "ha").hint("merge"), "a")
+    likely = likely.withColumn("i", _most_common(F.col("ha"), F.col("hb"))).where((F.col("na") + F.col("nb") - F.col("i")) * num <= F.col("i") * den).select("a", "b")
+    whole = sets.select("node", "keys")
+    both = likely.join(whole.toDF("b", "sb").hint("merge"), "b").join(whole.toDF("a", "sa").hint("merge"), "a")
+    both = both.withColumn("i", F.size(F.array_intersect("sa", "sb")).cast("bigint")).where((F.size("sa") + F.size("sb") - F.col("i")) * num <= F.col("i") * den)
+    out = settle(both.select("a", "b").distinct(), "links")
+    discard(sets)
+    return out
+
+
+def _by_differences(rows: DataFrame, classes: DataFrame, heavy: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Candidates (a, b) of different components in long lists, without their pairs being listed.
+
+    Each class is held as its difference from the list's leader: the tokens that
+    one of the two has and the other lacks, D of them.  With c = (den - num) /
+    (den + num), a and b link if and only if their symmetric difference, which is
+    that of their differences, is at most c (|a| + |b|).  So the differences share
+    (D_a + D_b - c (|a| + |b|)) / 2 tokens at least, and one at least unless both
+    link to the leader, which then joins them.  With D_a <= D_b this bounds two
+    prefixes, a short one of a and a longer one of b, in an order that has the
+    leader's own tokens last: all its near copies lack these.
+    """
+    heads = _leaders(heavy).select("token", F.col("node2").alias("leader"))
+    met = heavy.join(heads, "token").select("leader", "node", "n", "root").distinct()
+    met = settle(met, "heavy")
+    sets = _whole_sets(rows, classes, met.select("node").union(met.select("leader")), width).select("node", "keys")
+    both = met.where("node <> leader").join(sets.toDF("node", "s"), "node").join(sets.toDF("leader", "sl"), "leader")
+    delta = F.concat(F.array_except("s", "sl"), F.array_except("sl", "s"))
+    both = both.select("leader", "node", "n", "root", delta.alias("delta"))
+    c, t = (den - num) / (den + num), num / den
+    need = lambda share: F.greatest(F.lit(1), F.ceil(F.col("d") - F.col("n") * share - 1e-9))
+    both = both.withColumn("d", F.size("delta")).withColumns({"short": F.col("d") - need((1 - t) / (2 * t)) + 1, "long": F.col("d") - need((1 - t) / t) + 1})
+    both = settle(both.select("leader", "node", "n", "root", "d", "short", F.slice("delta", F.lit(1), F.least("long", "d").cast("int")).alias("first")), "differences")
+    discard(sets)
+    one = both.select("leader", "node", "n", "root", "d", "short", F.posexplode("first").alias("place", "token"))
+    two = one.select("leader", "token", *(F.col(x).alias(f"{x}2") for x in ("node", "n", "root", "d")))
+    first = F.struct("d", "node") < F.struct("d2", "node2")
+    fits = (F.col("n") * den >= F.col("n2") * num) & (F.col("n2") * den >= F.col("n") * num)
+    pairs = one.where("place < short").join(two, ["leader", "token"]).where(first & fits & (F.col("root") != F.col("root2")))
+    shared = pairs.groupBy("leader", "node", "node2").agg(F.first("root").alias("root"))
+    close = shared.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+    # The leader itself against each class.
+    at_leader = both.join(met.where("node = leader").select("leader", F.col("n").alias("n2"), F.col("root").alias("root2")).distinct(), "leader").where((F.col("d") <= c * (F.col("n") + F.col("n2")) + 1e-9) & (F.col("root") != F.col("root2")))
+    return close.union(at_leader.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")))
+
+
+def _bins(keys: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((keys >> _U(56)).astype(np.int64), minlength=256), 65535).astype(np.uint16).tobytes()
+
+
+def _most_common(a: Column, b: Column) -> Column:
+    """The most tokens that two sets can share by their bins; a full bin bounds nothing."""
+    @F.pandas_udf("bigint")
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = np.zeros(len(x), np.int64)
+        for i, (u, v) in enumerate(zip(x, y)):
+            m = np.minimum(np.frombuffer(u, np.uint16), np.frombuffer(v, np.uint16))
+            out[i] = m.sum(dtype=np.int64) if m.max(initial=0) < 65535 else 1 << 40
+        return pd.Series(out)
+
+    return run(a, b)
+
+
+def _whole_sets(rows: DataFrame, classes: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, keys, bins) of the classes in nodes, from their texts.
+
+    A bit for each hashed key, in a vector of fixed size, spares most of the other
+    texts the way to the join that finds the rows.
+    """
+    wanted = settle(classes.join(nodes.distinct().hint("merge"), "node", "left_semi").select("node", F.col("first_key").alias("wanted_key"), "h1", "h2"), "wanted")
+    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    found = wanted.select(bit("wanted_key").alias("bit")).groupBy((F.col("bit") / 4096).cast("int").alias("page")).agg(F.collect_set((F.col("bit") % 4096).cast("int")).alias("at"))
+    for r in found.toLocalIterator():
+        bits[r["page"] * 4096 + np.array(r["at"])] = True
+    sent = rows.sparkSession.sparkContext.broadcast(np.packbits(bits))
+
+    @F.pandas_udf("boolean")
+    def maybe(at: pd.Series) -> pd.Series:
+        x = at.to_numpy(np.int64)
+        return pd.Series((sent.value[x >> 3] >> (7 - (x & 7)) & 1).astype(bool))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             w1, w2 = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
@@ -214,8 +346,8 @@ def _whole_sets(rows: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 if len(same):
                     ends = np.concatenate(([0], np.cumsum(np.diff(at)[same])))
                     picked = np.concatenate([keys[at[x] : at[x + 1]] for x in same])
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).take(pa.array(same)), ta.list_array(picked.view(np.int64), ends)], names=["node", "keys"])
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).take(pa.array(same)), ta.list_array(picked.view(np.int64), ends), pa.array([_bins(keys[at[x] : at[x + 1]]) for x in same], pa.binary())], names=["node", "keys", "bins"])
 
     # Rows can repeat, and so can a class here; its links are made distinct later.
-    joined = rows.join(wanted.withColumnRenamed("key", "wanted_key"), rows["key"].eqNullSafe(F.col("wanted_key"))).select("node", "text", "h1", "h2")
-    return joined.mapInArrow(run, "node bigint, keys array<bigint>")
+    joined = rows.where(maybe(bit("key"))).join(wanted.hint("merge"), rows["key"].eqNullSafe(F.col("wanted_key"))).select("node", "text", "h1", "h2")
+    return settle(joined.mapInArrow(run, "node bigint, keys array<bigint>, bins binary"), "sets")

@@ -207,12 +207,13 @@ def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
 
 def _components(rows: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame | None:
     """(node, root) of the classes that have links; None without links."""
-    postings = classes.select("node", F.explode("prefix").alias("token"))
-    common = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    shared = settle(postings.join(common.hint("merge"), "token", "left_semi"), "shared")
-    # A class meets partners only if it shares k tokens at least; the leader of a list is the one that shares most.
-    able = shared.groupBy("node").agg(F.count(F.lit(1)).alias("m"))
-    able = able.join(classes.select("node", "n", "k", "copies", F.size("prefix").alias("size")).hint("merge"), "node").where("m >= k").select("node", "n", "k", "copies", (F.col("m") / F.col("size")).alias("hub"))
+    postings = classes.select("node", "k", F.explode("prefix").alias("token"))
+    common = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("k").alias("least")).where("c > 1").select("token", "least")
+    shared = settle(postings.select("node", "token").join(common.hint("merge"), "token"), "shared")
+    # A class meets partners only if it shares as many tokens as the smallest k in its lists, its own or a partner's; the leader of a list is the one that shares most.
+    able = shared.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.min("least").alias("least"))
+    shared = shared.select("node", "token")
+    able = able.join(classes.select("node", "n", "k", "copies", F.size("prefix").alias("size")).hint("merge"), "node").where("m >= least").select("node", "n", "k", "copies", (F.col("m") / F.col("size")).alias("hub"))
     kept = settle(shared.join(able.hint("merge"), "node"), "postings")
     discard(shared)
     if kept.isEmpty():

@@ -169,6 +169,16 @@ def test_multimatch_join_in_long_lists(spark, monkeypatch):
         assert got == brute_links(rows, 3, num, den)
 
 
+def test_multimatch_join_of_many_copies_with_longer_texts(spark):
+    """A class of many copies takes a long prefix; texts of one word more, whose own token comes first, a short one."""
+    base = [f"w{i}" for i in range(12)]
+    rows = [(i, " ".join(base), None) for i in range(1000)] + [(1000 + i, " ".join([*base, f"end{i}"]), None) for i in range(3)]
+    rows += [(2000 + i, " ".join([f"start{i}", *base]), None) for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = collections.Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in multimatch.link(df, width=3, num=90, den=100).collect())
+    assert got == brute_links(rows, 3, 90, 100) and {c for _, _, c in got} == {0}
+
+
 def test_toxicity(spark):
     r = random.Random(3)
     clean = lambda: " ".join(r.choice(["the", "house", "is", "green", "and", "water", "runs"]) for _ in range(30)) + "."

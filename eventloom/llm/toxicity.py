@@ -126,10 +126,10 @@ class Grammar:
             start = end - n + 1
             if start < done or start and low[start - 1].isalpha():
                 continue
-            a = max((m for m in (low.rfind(c, done, start) for c in ".!?;:\n")), default=-1) + 1
+            a = max(done, *(low.rfind(c, done, start) + 1 for c in ".!?;:\n"))
             stop = CLAUSE.search(low, end)
             done = stop.end() if stop else len(low)
-            weight, met = self.clause(WORD.findall(low[max(a, 0) : stop.start() if stop else len(low)]))
+            weight, met = self.clause(WORD.findall(low[a : stop.start() if stop else len(low)]))
             if weight:
                 yield weight, met
 

@@ -218,6 +218,14 @@ def test_grammar_scales():
     assert weight("I will surely kill you") > 0 and weight("the kill was quick") == 0
 
 
+def test_adjacent_clauses_score_as_alone():
+    g = toxicity.Grammar({"moron": 4.0, "idiot": 3.0}, {"target": 1.5, "negation": 0.2, "reported": 0.5})
+    for parts in (["you moron", "an idiot"], ["he said moron", "not plain", "idiot"], ["moron", "never an idiot", "they moron"]):
+        alone = [w for p in parts for w, _ in g.matches(p)]
+        for gap in (". ", ".", "?! ", "\n"):
+            assert [w for w, _ in g.matches(gap.join(parts))] == alone
+
+
 def test_sainte_lague_by_quotients():
     r = random.Random(4)
     for _ in range(200):

@@ -15,7 +15,7 @@ others of its host; a host's tree comes back to its pages by a join on the host.
 
 Defined results: null and empty pages, and pages without any branch left, have the
 empty text and 0 characters; a null url's host is the empty one; repeated rows are
-each extracted.  Other columns are not read.
+each extracted, but are one page of their host's tree.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -150,22 +150,24 @@ def host_of(url: F.Column) -> F.Column:
 
 
 def site_trees(rows: DataFrame) -> DataFrame:
-    """(host, importance: map of path to importance) from rows (host, html)."""
+    """(host, importance: map of path to importance) from rows (host, html); equal pages of a host count once."""
+    rows = rows.withColumn("page", F.xxhash64("html"))
+
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for host, page, copy in zip(*(b.column(i).to_pylist() for i in range(3))):
                 if not page:
                     continue
                 seen: Counter = Counter()
                 texts = {(path, _hash(t)) for path, _, t in blocks(page, seen)}
-                out += [(host, path, True, h) for path, h in texts]
-                out += [(host, path, False, _hash(style)) for path, style in seen]
-            cols = list(zip(*out)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.bool_(), pa.int64()))], names=["host", "path", "content", "value"])
+                out += [(host, path, True, h, copy) for path, h in texts]
+                out += [(host, path, False, _hash(style), copy) for path, style in seen]
+            cols = list(zip(*out)) if out else [[], [], [], [], []]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64()))], names=["host", "path", "content", "value", "page"])
 
-    values = rows.mapInArrow(read, "host string, path string, content boolean, value bigint").groupBy("host", "path", "content", "value").agg(F.count(F.lit(1)).alias("k"))
-    pages = rows.where("html <> ''").groupBy("host").agg(F.count(F.lit(1)).alias("m"))
+    values = rows.mapInArrow(read, "host string, path string, content boolean, value bigint, page bigint").groupBy("host", "path", "content", "value").agg(F.count_distinct("page").alias("k"))
+    pages = rows.where("html <> ''").groupBy("host").agg(F.count_distinct("page").alias("m"))
     nodes = values.groupBy("host", "path").agg(
         # Texts on k of m pages, evenly: entropy log k / log m; each text of a page counts.
         F.sum(F.when(F.col("content"), F.col("k") * F.log("k"))).alias("spread"),

@@ -122,6 +122,13 @@ def test_style_tree_removes_what_repeats_without_a_name(spark):
     assert got == {i: f"Only here {i}" for i in range(30)}
 
 
+def test_style_tree_counts_copies_of_a_page_once(spark):
+    text = {i: f"<main><h2>Title {i}</h2><p>Words of page {i}</p></main><footer>foot</footer>" for i in range(4)}
+    rows = [(1, "http://two.com/a", text[0])] * 2 + [(2, f"http://many.com/{i}", text[1]) for i in range(30)] + [(3, "http://many.com/x", text[2]), (4, "http://many.com/y", text[3])]
+    got = sorted((r["page_id"], r["text"]) for r in style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == sorted((k, f"Title {k - 1} Words of page {k - 1}") for k, _, _ in rows)
+
+
 def brute_links(rows, width, num, den):
     sets = []
     for key, text, _ in rows:

@@ -327,34 +327,34 @@ def _payload(spark, sf, make) -> DataFrame:
 
 @query()
 def event_clusters(spark, sf):
-    """Sections are language, source and hour, which bounds a section's rows on a growing table too slowly; a run's own sections are bounded by its source."""
-    p = _payload(spark, sf, sim.cluster_payload).withColumn("hour", F.hour("published"))
-    return ordered.cluster(p, ["section", "source", "hour"], "ord", "published", "payload")
+    """Sections are languages, as the reference's; a section is one task, which grows with the table."""
+    p = _payload(spark, sf, sim.cluster_payload)
+    return ordered.cluster(p, ["section"], "ord", "published", "payload")
 
 
 @query()
 def past_events(spark, sf):
-    p = _payload(spark, sf, lambda t, b, _: sim.history_payload(t, b)).withColumn("hour", F.hour("published"))
-    past = p.where("ord % 10 = 0").select("section", "hour", F.col("ord").alias("past_ord"), F.col("payload").alias("past_payload"))
-    return ordered.past_match(p.where("ord % 10 <> 0"), past, ident="ord", payload="payload", past_order="past_ord", past_payload="past_payload", by=["section", "hour"])
+    p = _payload(spark, sf, lambda t, b, _: sim.history_payload(t, b))
+    past = p.where("ord % 10 = 0").select("section", F.col("ord").alias("past_ord"), F.col("payload").alias("past_payload"))
+    return ordered.past_match(p.where("ord % 10 <> 0"), past, ident="ord", payload="payload", past_order="past_ord", past_payload="past_payload", by=["section"])
 
 
 @query()
 def history_repeats(spark, sf):
-    p = _payload(spark, sf, lambda t, b, _: sim.history_payload(t, b)).withColumn("hour", F.hour("published"))
-    return ordered.drop_repeats(p, ["section", "source", "hour"], "ord", "payload", "history")
+    p = _payload(spark, sf, lambda t, b, _: sim.history_payload(t, b))
+    return ordered.drop_repeats(p, ["section"], "ord", "payload", "history")
 
 
 @query()
 def final_repeats(spark, sf):
-    p = _payload(spark, sf, lambda t, b, _: sim.final_payload(t, b)).withColumn("hour", F.hour("published"))
-    return ordered.drop_repeats(p, ["section", "source", "hour"], "ord", "payload", "final")
+    p = _payload(spark, sf, lambda t, b, _: sim.final_payload(t, b))
+    return ordered.drop_repeats(p, ["section"], "ord", "payload", "final")
 
 
 @query()
 def final_selection(spark, sf):
-    p = _payload(spark, sf, lambda t, b, _: sim.final_payload(t, b)).withColumn("hour", F.hour("published"))
-    return ordered.pick_with_supplement(p, ["section", "source", "hour"], "ord", "payload", 10)
+    p = _payload(spark, sf, lambda t, b, _: sim.final_payload(t, b))
+    return ordered.pick_with_supplement(p, ["section"], "ord", "payload", 10)
 
 
 @query()
@@ -373,8 +373,8 @@ def group_shortlist(spark, sf):
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Clusters of articles, summarised, scored and ranked in each section."""
-    p = _payload(spark, sf, sim.cluster_payload).withColumn("hour", F.hour("published"))
-    found = ordered.cluster(p, ["section", "source", "hour"], "ord", "published", "payload").select("ord", F.concat_ws("-", "source", "hour", "group_id").alias("group_id"), "method")
+    p = _payload(spark, sf, sim.cluster_payload)
+    found = ordered.cluster(p, ["section"], "ord", "published", "payload").select("ord", "group_id", "method")
     members = articles(spark, sf).join(found, "ord").withColumn("tokens", tx.cluster_tokens(F.concat_ws(" ", "title", "body")))
     s = gr.summarise(members, ["section"], order="ord", title="title", body="body", url="url", source="source", keyword="keyword", published="published", tokens="tokens")
     return gr.top_groups(s, ["section"], 10).select("section", "place", "group_id", "article_count", "source_count", "rep_title", "priority")

@@ -145,3 +145,18 @@ def test_stream_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["n"] for r in spark.table("windows").collect()) == [1, 2]
+
+
+def test_repeats_are_found_across_hours_and_sources(spark, tmp_path):
+    """Copies of a text in another hour and of another source are repeats; another language is another section."""
+    text = "Harbour bridge opens after nine years of repairs in the old northern port of the island " * 4
+    other = "Quiet museum garden wins award for rare alpine flowers " * 6
+    docs = [(1, text, "en", "src1"), (62, text, "en", "src2"), (133, other, "en", "src1"), (204, text, "de", "src1"), (330, text, "en", "src3")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {name: QUERIES[name](spark, str(tmp_path)) for name in ("history_repeats", "final_repeats")}
+    for df in got.values():
+        assert {r["ord"]: r["duplicate_of"] for r in df.collect()} == {1: None, 62: 1, 133: None, 204: None, 330: 1}
+    groups = {r["ord"]: (r["section"], r["group_id"]) for r in QUERIES["event_clusters"](spark, str(tmp_path)).collect()}
+    assert groups[1] == groups[62] == groups[330] and len(set(groups.values())) == 3
+    assert {r["ord"] for r in QUERIES["final_selection"](spark, str(tmp_path)).collect()} == {1, 133, 204}
+    assert {r["ord"]: r["matched_order"] for r in QUERIES["past_events"](spark, str(tmp_path)).collect()} == {1: 330, 62: 330}

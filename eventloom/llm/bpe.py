@@ -304,14 +304,22 @@ def tokenizer(blob: bytes) -> Tokenizer:
     return _ready[key]
 
 
-def digests(tok: Tokenizer, text: str) -> tuple[int, str, str]:
-    """Number of tokens, sha256 of the ids, and of the text decoded from them."""
+def digests(tok: Tokenizer, text: str, parts: list[bytes] | None = None, decoded: list[str] | None = None) -> tuple[int, str, str]:
+    """Number of tokens, sha256 of the ids, and of the text decoded from them; parts and decoded take these as they come."""
     n, of_ids, of_text, out = 0, hashlib.sha256(), hashlib.sha256(), Decoder(tok.text_of)
+
+    def said(more: str) -> None:
+        of_text.update(more.encode())
+        if decoded is not None:
+            decoded.append(more)
+
     for part in tok.encode(text):
         n += len(part) // 4
         of_ids.update(part)
-        of_text.update(out.feed(memoryview(part).cast("I").tolist()).encode())
-    of_text.update(out.finish().encode())
+        if parts is not None:
+            parts.append(part)
+        said(out.feed(memoryview(part).cast("I").tolist()))
+    said(out.finish())
     return n, of_ids.hexdigest(), of_text.hexdigest()
 
 
@@ -340,13 +348,13 @@ def encode_decode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str
             for i, j in ta.pieces(off):
                 b = whole.slice(i, j - i)
                 texts = [t or "" for t in b.column(1).to_pylist()]
-                n, a, d = zip(*(digests(tok, t) for t in texts))
+                flat, plain = ([[] for _ in texts] if on else [None] * len(texts) for on in (ids, ids and decode))
+                n, a, d = zip(*(digests(tok, *x) for x in zip(texts, flat, plain)))
                 cols = [b.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
                 if ids:
-                    flat = [b"".join(tok.encode(t)) for t in texts]
-                    ends = np.concatenate(([0], np.cumsum([len(x) // 4 for x in flat])))
-                    decoded = [tok.decode(memoryview(x).cast("I").tolist()) for x in flat] if decode else [None] * len(flat)
-                    cols += [ta.list_array(np.frombuffer(b"".join(flat), np.int32), ends), pa.array(decoded, pa.string())]
+                    ends = np.concatenate(([0], np.cumsum(n)))
+                    whole_ids = np.frombuffer(b"".join(x for parts in flat for x in parts), np.int32)
+                    cols += [ta.list_array(whole_ids, ends), pa.array([None if x is None else "".join(x) for x in plain], pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
         ta.release()
 

@@ -29,6 +29,8 @@ from .tables import settle
 
 WEIGHTS, SHARE, REPEATS = (5.0, 2.0, 1.0), 1.5, 2.0
 BLOCK, SHARD_WORDS, SHARDS, SEED = 8, 1 << 16, 1 << 16, 20240229
+#: Rows of the source and shard tables, of five short columns each, that are sent to all executors.
+BROADCAST_ROWS = 200_000
 
 
 def words(text: Column) -> Column:
@@ -73,6 +75,11 @@ def sainte_lague(votes: list[float], seats: int, caps: list[int] | None = None)
     return out
 
 
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """A table of the driver, of a known number of rows: broadcast up to a bound, else joined by a sort, whose hot keys are split."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table.hint("merge")
+
+
 def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, seed: int = SEED, carry: list[str] | None = None) -> DataFrame:
     """Returns ``key``, size, source_size, target and taken of every document.
 
@@ -94,7 +101,7 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     quotas = dict(zip(order, sainte_lague(aims, round(sum(aims) / BLOCK))))
     count = {s: max(1, min(-(-found[s] // SHARD_WORDS), SHARDS * found[s] // max(total, 1))) for s in order}
     by_source = spark.createDataFrame([(s, found[s], t, count[s]) for s, t in zip(order, aims)], "source string, source_size bigint, target double, shards bigint")
-    placed = sized.join(by_source, "source").withColumn("tie", F.xxhash64("key", F.lit(seed))).withColumn("shard", F.pmod("tie", "shards"))
+    placed = sized.join(_small(by_source, len(order)), "source").withColumn("tie", F.xxhash64("key", F.lit(seed))).withColumn("shard", F.pmod("tie", "shards"))
     shards: dict[str, list[tuple[int, int]]] = {}
     for r in placed.groupBy("source", "shard").agg(F.sum("size").alias("size")).collect():
         shards.setdefault(r["source"], []).append((r["shard"], r["size"]))
@@ -106,7 +113,7 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
             dealt.append((s, k, z, n, q))
     quota = spark.createDataFrame(dealt, "source string, shard bigint, shard_size bigint, blocks bigint, quota bigint")
     in_shard = Window.partitionBy("source", "shard").orderBy(F.xxhash64("tie", F.lit(seed)), "key", "size")
-    df = placed.join(quota, ["source", "shard"]).withColumn("end", F.sum("size").over(in_shard.rowsBetween(Window.unboundedPreceding, 0)))
+    df = placed.join(_small(quota, len(dealt)), ["source", "shard"]).withColumn("end", F.sum("size").over(in_shard.rowsBetween(Window.unboundedPreceding, 0)))
     n = F.greatest("blocks", F.lit(1))
     df = df.withColumns({"start": F.col("end") - F.col("size"), "passes": F.floor(F.col("quota") / n).cast("long"), "run": F.pmod("quota", n), "first": F.pmod(F.xxhash64("source", "shard", F.lit(seed + 1)), n)})
     # The run of blocks, which may go on at the shard's beginning, as two ranges of words.
@@ -128,11 +135,15 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
 
 def apply_mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mixed corpus in the columns of ``docs``: each document as often, and as much of it, as the mix takes."""
-    df = mix(docs, key=key, text=text, source=source, carry=docs.columns, **options)
-    all_words = F.array_remove(F.split(text, r"[\x20\x09-\x0D]+"), "")
+    taken = ("passes", "from_1", "to_1", "from_2", "to_2", "taken")
+    columns = {c: f"__{i}" for i, c in enumerate(docs.columns)}
+    safe = docs.select(*(docs[c].alias(n) for c, n in columns.items()))
+    df = mix(safe, key=columns[key], text=columns[text], source=columns[source], carry=list(columns.values()), **options).select(*columns.values(), *taken)
+    all_words = F.array_remove(F.split(columns[text], r"[\x20\x09-\x0D]+"), "")
     part = lambda a, b: F.when(F.col(b) > F.col(a), F.array_join(F.slice(all_words, F.col(a).cast("int") + 1, (F.col(b) - F.col(a)).cast("int")), " "))
-    pieces = F.concat(F.array_repeat(F.col(text), F.col("passes").cast("int")), F.array_compact(F.array(part("from_1", "to_1"), part("from_2", "to_2"))))
-    out = df.withColumn("__pieces", F.filter(pieces, lambda x: x.isNotNull())).where("taken > 0").select(*(c for c in docs.columns if c != text), F.explode("__pieces").alias(text))
+    pieces = F.concat(F.array_repeat(F.col(columns[text]), F.col("passes").cast("int")), F.array_compact(F.array(part("from_1", "to_1"), part("from_2", "to_2"))))
+    out = df.withColumn("pieces", F.filter(pieces, lambda x: x.isNotNull())).where("taken > 0")
+    out = out.select(*(F.col(n).alias(c) for c, n in columns.items() if c != text), F.explode("pieces").alias(text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

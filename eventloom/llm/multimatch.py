@@ -11,11 +11,16 @@ tokens, the others short ones.  Candidates that share enough are verified exactl
 on the whole sets.
 
 Texts with equal sets are one class, and only classes are joined.  No group's
-pairs are listed: in each posting list all classes first meet one leader (the one
-that shares most of its prefix with others), links made so far are contracted to
-components, and only pairs of different components are compared after that: pair by
-pair in short lists, and in long ones by a prefix join on the differences from the
-leader.  This gives all links up to reachability, so the components are exact.
+pairs are listed.  Each posting list has a leader (the class that shares most of its
+prefix with others).  A class first meets the one leader with which it shares most
+lists; these links are contracted to components, and only pairs of different
+components are compared after that: pair by pair in short lists, and in long ones by
+a prefix join on the differences from the leader.  This gives all links up to reachability, so the components are exact.
+
+A pair's first shared tokens say how much the two sets can share at all: what stands
+behind them, in the common order, must be enough for the overlap.  Pairs that can't
+reach it are not listed.  Then counts of hashed bins, made when a text is first read,
+bound the overlap, and only what is left has its texts read again.
 
 Joins of tables that grow with the corpus are sort-merge joins at every size, whose
 hot keys adaptive execution deals out.
@@ -25,10 +30,12 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +44,10 @@ from .components import connected_components
 from .tables import discard, settle
 
 SKETCH_BITS, SKETCH_PARTS = 21, 128
+#: Ranks of tokens are logarithms to base 2 in these parts, whole numbers, so every machine orders them alike.
+RANK_PARTS = 256
+#: Bins of a set in which its tokens are counted.
+BINS = 256
 #: Bits of the filter on keys whose texts are read again.
 FILTER_BITS = 24
 #: The largest k of the prefixes.
@@ -47,12 +58,21 @@ LIGHT = 24
 _U = np.uint64
 
 
-def _sets(batch: pa.RecordBatch, at: int, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Rows i to j of a batch with their distinct shingles and each row's range in them."""
+def _ordered(batch: pa.RecordBatch, at: int, width: int, rarity: Rarity) -> Iterator[tuple[int, int, list[np.ndarray], list[np.ndarray]]]:
+    """Rows i to j of a batch with their distinct shingles, rare ones first, and the shingles' ranks."""
     data, off = ta.buffers(batch.column(at))
     for i, j in ta.pieces(off):
-        keys, rows = ta.word_keys(data[off[i] : off[j]], off[i : j + 1] - off[i])
-        yield i, j, *ta.distinct_sorted(*ta.shingle_keys(keys, rows, width))
+        words, rows = ta.word_keys(data[off[i] : off[j]], off[i : j + 1] - off[i])
+        all_keys, ends = ta.shingle_keys(words, rows, width)
+        all_ranks = rarity.ranks(all_keys, words, rows, width)
+        sets, ranks = [], []
+        for x, y in zip(ends[:-1], ends[1:]):
+            keys, first = np.unique(all_keys[x:y], return_index=True)
+            r = all_ranks[x:y][first]
+            order = np.argsort(r, kind="stable")
+            sets.append(keys[order])
+            ranks.append(r[order])
+        yield i, j, sets, ranks
 
 
 def _digests(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -65,34 +85,39 @@ def _digests(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Rarity:
-    """How many texts a shingle is expected in, from two sketches of the whole corpus, of fixed size.
+    """In how many texts a shingle is expected, from two sketches of the whole corpus, of fixed size.
 
     One counts the texts' distinct shingles in 2**SKETCH_BITS bins, which shows the
     passages that many texts share; the other counts words, whose shares multiply to
-    what shingles of common words come to by chance.
+    what shingles of common words come to by chance.  A shingle's rank is the larger
+    of the two as a logarithm.  The logarithms are rounded to whole numbers once, on
+    the driver; executors only add and compare these.
     """
 
     def __init__(self, shingles: np.ndarray, words: np.ndarray):
         middle = float(np.median(shingles))
-        usual = middle + 3 * np.sqrt(middle) + 1
-        self.excess = np.maximum(shingles - usual, 0).astype(np.float32)
-        self.log_words = np.log(np.maximum(words, 1)).astype(np.float32)
-        self.log_total = float(np.log(max(words.sum(), 1)))
-
-    def __call__(self, shingles: np.ndarray, by_chance: np.ndarray) -> np.ndarray:
-        return self.excess[(shingles >> _U(64 - SKETCH_BITS)).astype(np.int64)] + by_chance
-
-    def by_chance(self, keys: np.ndarray, rows: np.ndarray, width: int) -> np.ndarray:
-        """Expected count of each run of ``width`` words, in the order of shingle_keys; 0 for shorter texts."""
-        logs = self.log_words[(keys >> _U(64 - SKETCH_BITS)).astype(np.int64)]
+        excess = shingles - (middle + 3 * np.sqrt(middle) + 1)
+        log = lambda x: np.round(np.log2(np.maximum(x, 1)) * RANK_PARTS).astype(np.int32)
+        self.excess = np.where(excess > 0, log(excess + 1), NEVER).astype(np.int32)
+        self.words = log(words)
+        self.total = int(log(words.sum()))
+
+    def ranks(self, shingles: np.ndarray, words: np.ndarray, rows: np.ndarray, width: int) -> np.ndarray:
+        """Ranks of the runs of ``width`` words, in the order of shingle_keys; texts of fewer words are as rare as can be."""
+        logs = self.words[(words >> _U(64 - SKETCH_BITS)).astype(np.int64)]
         counts = np.diff(rows)
         many = np.where(counts >= width, counts - width + 1, (counts > 0).astype(np.int64))
         first = np.repeat(rows[:-1] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
         full = np.repeat(counts >= width, many)
-        out = np.zeros(len(first))
+        chance = np.full(len(first), -(width - 1) * self.total, np.int32)
         for k in range(width):
-            out[full] += logs[first[full] + k]
-        return np.where(full, np.exp(out - (width - 1) * self.log_total), 0.0)
+            chance[full] += logs[first[full] + k]
+        chance[~full] = NEVER
+        return np.maximum(self.excess[(shingles >> _U(64 - SKETCH_BITS)).astype(np.int64)], chance)
+
+
+#: A rank below all others.
+NEVER = -(1 << 24)
 
 
 def measure_rarity(texts: DataFrame, width: int) -> Rarity:
@@ -138,17 +163,20 @@ def measure_rarity(texts: DataFrame, width: int) -> Rarity:
     return Rarity(shingles, words)
 
 
-def _prefix(keys: np.ndarray, counts: np.ndarray, num: int, den: int) -> tuple[int, np.ndarray]:
-    """k and the prefix of one set: rare tokens first, and the k of the least estimated cost."""
+def _prefix(keys: np.ndarray, ranks: np.ndarray, num: int, den: int) -> tuple[int, np.ndarray]:
+    """k and the prefix of a set, given in order: the k of the least estimated cost."""
     n = len(keys)
     need = -(-num * n // den)
-    order = np.lexsort((keys, counts))
     most = min(MOST_MATCHES, need)
-    cost = np.cumsum(counts[order[: n - need + most]])
+    cost = np.cumsum(np.exp2(ranks[: n - need + most] / RANK_PARTS))
     ks = np.arange(1, most + 1)
     ends = n - need + ks
     k = int(ks[np.argmin(cost[ends - 1] / ks + ends)])
-    return k, keys[order[: n - need + k]]
+    return k, keys[: n - need + k]
+
+
+def _bins(keys: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((keys >> _U(56)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
 
 
 def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -163,110 +191,122 @@ def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
     component of such rows alone has a null id.  Other columns are not read.
     """
     rows = docs.select(docs[key].cast("bigint").alias("key"), docs[text].cast("string").alias("text"))
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(measure_rarity(rows.select("text"), width))
+    sent = docs.sparkSession.sparkContext.broadcast(measure_rarity(rows.select("text"), width))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rarity = sent.value
         for b in batches:
-            data, off = ta.buffers(b.column(1))
-            for i, j in ta.pieces(off):
-                words, rows_ = ta.word_keys(data[off[i] : off[j]], off[i : j + 1] - off[i])
-                all_keys, at_ = ta.shingle_keys(words, rows_, width)
-                chance = rarity.by_chance(words, rows_, width)
-                ks, parts, sets = [], [], []
-                for x, y in zip(at_[:-1], at_[1:]):
-                    keys, first = np.unique(all_keys[x:y], return_index=True)
-                    sets.append(keys)
-                    k, p = _prefix(keys, rarity(keys, chance[x:y][first]), num, den) if y > x else (0, keys)
-                    ks.append(k)
-                    parts.append(p)
+            for i, j, sets, ranks in _ordered(b, 1, width, sent.value):
+                ks, parts = zip(*(_prefix(x, r, num, den) if len(x) else (0, x) for x, r in zip(sets, ranks)))
                 at = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
                 h1, h2 = _digests(np.concatenate(sets), at)
                 ends = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(h1), pa.array(h2), pa.array(ks, pa.int32()), ta.list_array(np.concatenate(parts).view(np.int64), ends)], names=["key", "n", "h1", "h2", "k", "prefix"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), pa.array(np.diff(at)), pa.array(h1), pa.array(h2), pa.array(ks, pa.int32()), ta.list_array(np.concatenate(parts).view(np.int64), ends), pa.array([_bins(x) for x in sets], pa.binary())], names=["key", "n", "h1", "h2", "k", "prefix", "bins"])
 
-    signed = settle(rows.mapInArrow(sign, "key bigint, n bigint, h1 bigint, h2 bigint, k int, prefix array<bigint>"), "signed")
-    grouped = signed.where("n > 0").groupBy("h1", "h2").agg(F.min("key").alias("first_key"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("k").alias("k"), F.first("prefix").alias("prefix"))
+    signed = settle(rows.mapInArrow(sign, "key bigint, n bigint, h1 bigint, h2 bigint, k int, prefix array<bigint>, bins binary"), "signed")
+    same = ("n", "k", "prefix", "bins")
+    grouped = signed.where("n > 0").groupBy("h1", "h2").agg(F.min("key").alias("first_key"), F.count(F.lit(1)).alias("copies"), *(F.first(c).alias(c) for c in same))
     classes = settle(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
     ids = settle(signed.select("key", "n", "h1", "h2"), "ids")
     discard(signed)
-    roots = _components(rows, classes, width, num, den)
-    named = classes.select("node", "h1", "h2", "first_key")
-    if roots is None:
-        named = named.withColumn("component_id", F.col("first_key"))
-    else:
-        found = roots.join(named.select("node", "first_key"), "node")
-        least = found.groupBy("root").agg(F.min("first_key").alias("component_id"))
-        named = named.join(found.select("node", "root").join(least, "root").select("node", "component_id"), "node", "left").withColumn("component_id", F.coalesce("component_id", "first_key"))
+    roots = _components(_Corpus(rows, classes, sent, width, num, den))
+    named = settle(classes.select("node", "h1", "h2", "first_key"), "names")
+    discard(classes)
+    found = roots.join(named.select("node", "first_key").hint("merge"), "node")
+    least = found.groupBy("root").agg(F.min("first_key").alias("component_id"))
+    named = named.join(found.select("node", "root").join(least.hint("merge"), "root").select("node", "component_id").hint("merge"), "node", "left").withColumn("component_id", F.coalesce("component_id", "first_key"))
     named = named.select("h1", "h2", F.col("first_key").alias("class_id"), "component_id")
     out = ids.where("n > 0").join(named.hint("merge"), ["h1", "h2"]).select("key", "n", "component_id", "class_id")
     out = out.unionByName(ids.where("n = 0").select("key", "n", F.col("key").alias("component_id"), F.col("key").alias("class_id")))
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", "class_id")
 
 
-def _components(rows: DataFrame, classes: DataFrame, width: int, num: int, den: int) -> DataFrame | None:
-    """(node, root) of the classes that have links; None without links."""
-    postings = classes.select("node", "k", F.explode("prefix").alias("token"))
+class _Corpus(NamedTuple):
+    """What the rounds of a join read."""
+
+    rows: DataFrame
+    classes: DataFrame
+    rarity: Broadcast
+    width: int
+    num: int
+    den: int
+
+    def fits(self) -> Column:
+        """Sizes n and n2 are near enough."""
+        return (F.col("n") * self.den >= F.col("n2") * self.num) & (F.col("n2") * self.den >= F.col("n") * self.num)
+
+    def may_link(self) -> Column:
+        """Holds in the lists of a linked pair's first k shared tokens: what stands behind them in both sets is enough.
+
+        The r-th shared token (from 0) has as many shared tokens from it on as the
+        overlap less r, so behind the first k the two sets still have room for the
+        overlap less k - 1.
+        """
+        room = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) + F.least("k", "k2") - 1
+        return self.fits() & ((F.col("n") + F.col("n2")) * self.num <= room * (self.num + self.den))
+
+
+def _components(c: _Corpus) -> DataFrame:
+    """(node, root) of the classes that have links."""
+    postings = c.classes.select("node", "k", F.posexplode("prefix").alias("place", "token"))
     common = postings.groupBy("token").agg(F.count(F.lit(1)).alias("c"), F.min("k").alias("least")).where("c > 1").select("token", "least")
-    shared = settle(postings.select("node", "token").join(common.hint("merge"), "token"), "shared")
+    shared = settle(postings.select("node", "place", "token").join(common.hint("merge"), "token"), "shared")
     # A class meets partners only if it shares as many tokens as the smallest k in its lists, its own or a partner's; the leader of a list is the one that shares most.
     able = shared.groupBy("node").agg(F.count(F.lit(1)).alias("m"), F.min("least").alias("least"))
-    shared = shared.select("node", "token")
-    able = able.join(classes.select("node", "n", "k", "copies", F.size("prefix").alias("size")).hint("merge"), "node").where("m >= least").select("node", "n", "k", "copies", (F.col("m") / F.col("size")).alias("hub"))
-    kept = settle(shared.join(able.hint("merge"), "node"), "postings")
+    able = able.join(c.classes.select("node", "n", "k", "copies", F.size("prefix").alias("size")).hint("merge"), "node").where("m >= least").select("node", "n", "k", "copies", (F.col("m") / F.col("size")).alias("hub"))
+    kept = settle(shared.select("node", "place", "token").join(able.hint("merge"), "node"), "postings")
     discard(shared)
-    if kept.isEmpty():
-        return None
-    # First each list's classes meet its leader.
-    fits = (F.col("n") * den >= F.col("n2") * num) & (F.col("n2") * den >= F.col("n") * num)
-    pair = [F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"), F.least("k", "k2").alias("k")]
-    counted = lambda met: met.select(*pair).groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.first("k").alias("k"))
-    heads = _leaders(kept).select("token", "node2", "n2", "k2")
-    met = settle(counted(kept.join(heads.hint("merge"), "token").where(fits & (F.col("node") != F.col("node2")))), "candidates")
-    # A leader's lists don't show all tokens that the pair shares; these are counted on the two prefixes.
-    own = classes.select("node", "prefix")
-    more = met.where("m < k").join(own.toDF("b", "pb"), "b").join(own.toDF("a", "pa"), "a").where(F.size(F.array_intersect("pa", "pb")) >= F.col("k")).select("a", "b")
-    links = _verified(rows, classes, settle(met.where("m >= k").select("a", "b").union(more), "ready"), width, num, den)
-    roots = kept.select("node", F.col("node").alias("root")).distinct() if links.isEmpty() else connected_components(links)
+    # First each class meets the leader of most of its lists.
+    heads = _leaders(kept)
+    met = kept.join(heads.hint("merge"), "token").where(c.may_link() & (F.col("node") != F.col("node2"))).groupBy("node", "node2").agg(F.count(F.lit(1)).alias("m"), F.first(F.least("k", "k2")).alias("k")).where("m >= k")
+    best = met.groupBy("node").agg(F.max(F.struct("m", (-F.col("node2")).alias("x"))).alias("b")).select("node", (-F.col("b.x")).alias("node2"))
+    ends = [F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")]
+    tested = settle(best.select(*ends).distinct(), "tested")
+    links = _verified(c, tested)
+    roots = connected_components(links)
     # Then, in lists with several components, the pairs of different ones.
     lists = kept.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = lists.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("c")).where("x <> y").select("token", "c")
     lists = settle(lists.join(mixed.hint("merge"), "token"), "mixed")
+    discard(kept)
+    discard(roots)
     light = lists.where(F.col("c") <= LIGHT)
-    others = light.select("token", *(F.col(c).alias(f"{c}2") for c in ("node", "n", "k", "root")))
-    apart = (F.col("root") != F.col("root2")) & (F.col("node") < F.col("node2"))
-    near = counted(light.join(others.hint("merge"), "token").where(fits & apart)).where("m >= k").select("a", "b")
-    heavy = lists.where(F.col("c") > LIGHT)
-    if not heavy.isEmpty():
-        near = near.union(_by_differences(rows, classes, heavy, width, num, den))
-    near = settle(near.distinct().join(met.select("a", "b"), ["a", "b"], "left_anti"), "ready")
-    found = links.union(_verified(rows, classes, near, width, num, den))
-    return None if found.isEmpty() else connected_components(found)
+    second = light.select("token", *(F.col(x).alias(f"{x}2") for x in ("node", "place", "n", "k", "root")))
+    pairs = light.join(second.hint("merge"), "token").where(c.may_link() & (F.col("root") != F.col("root2")) & (F.col("node") < F.col("node2")))
+    near = pairs.groupBy("node", "node2").agg(F.count(F.lit(1)).alias("m"), F.first(F.least("k", "k2")).alias("k")).where("m >= k").select(*ends)
+    close = _by_differences(c, lists.where(F.col("c") > LIGHT))
+    near = settle(near.union(close).distinct().join(tested, ["a", "b"], "left_anti"), "near")
+    for done in (lists, close, tested):
+        discard(done)
+    more = _verified(c, near)
+    roots = connected_components(links.union(more))
+    for done in (near, links, more):
+        discard(done)
+    return roots
 
 
 def _leaders(lists: DataFrame) -> DataFrame:
     """For each token the class of its list that shares most of its prefix with others, has most copies, and is the first."""
-    rank = F.struct("hub", "copies", (-F.col("node")).alias("first"), F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("k").alias("k2"))
-    return lists.groupBy("token").agg(F.max(rank).alias("h")).select("token", "h.node2", "h.n2", "h.k2")
+    rank = F.struct("hub", "copies", (-F.col("node")).alias("first"), *(F.col(x).alias(f"{x}2") for x in ("node", "place", "n", "k")))
+    return lists.groupBy("token").agg(F.max(rank).alias("h")).select("token", "h.node2", "h.place2", "h.n2", "h.k2")
 
 
-def _verified(rows: DataFrame, classes: DataFrame, ready: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of ready, a settled table, that link."""
-    sets = _whole_sets(rows, classes, ready.select(F.col("a").alias("node")).union(ready.select("b")), width)
-    # Two sets share no more than the smaller count of each bin; most candidates end here, before their sets meet.
-    small = sets.select("node", F.size("keys").cast("bigint").alias("n"), "bins")
+def _verified(c: _Corpus, ready: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ready, a settled table of distinct ones, that link."""
+    # Two sets share no more than the smaller count of each bin; most candidates end here, before their texts are read.
+    small = c.classes.select("node", "n", "bins")
     likely = ready.join(small.toDF("b", "nb", "hb").hint("merge"), "b").join(small.toDF("a", "na", "ha").hint("merge"), "a")
-    likely = likely.withColumn("i", _most_common(F.col("ha"), F.col("hb"))).where((F.col("na") + F.col("nb") - F.col("i")) * num <= F.col("i") * den).select("a", "b")
-    whole = sets.select("node", "keys")
-    both = likely.join(whole.toDF("b", "sb").hint("merge"), "b").join(whole.toDF("a", "sa").hint("merge"), "a")
-    both = both.withColumn("i", F.size(F.array_intersect("sa", "sb")).cast("bigint")).where((F.size("sa") + F.size("sb") - F.col("i")) * num <= F.col("i") * den)
+    likely = likely.withColumn("i", _most_common(F.col("ha"), F.col("hb"))).where((F.col("na") + F.col("nb") - F.col("i")) * c.num <= F.col("i") * c.den).select("a", "b")
+    likely = settle(likely, "likely")
+    sets = _whole_sets(c, likely.select(F.col("a").alias("node")).union(likely.select("b")))
+    both = likely.join(sets.toDF("b", "sb").hint("merge"), "b").join(sets.toDF("a", "sa").hint("merge"), "a")
+    both = both.withColumn("i", F.size(F.array_intersect("sa", "sb")).cast("bigint")).where((F.size("sa") + F.size("sb") - F.col("i")) * c.num <= F.col("i") * c.den)
     out = settle(both.select("a", "b").distinct(), "links")
     discard(sets)
+    discard(likely)
     return out
 
 
-def _by_differences(rows: DataFrame, classes: DataFrame, heavy: DataFrame, width: int, num: int, den: int) -> DataFrame:
+def _by_differences(c: _Corpus, heavy: DataFrame) -> DataFrame:
     """Candidates (a, b) of different components in long lists, without their pairs being listed.
 
     Each class is held as its difference from the list's leader: the tokens that
@@ -275,63 +315,65 @@ def _by_differences(rows: DataFrame, classes: DataFrame, heavy: DataFrame, width
     that of their differences, is at most c (|a| + |b|).  So the differences share
     (D_a + D_b - c (|a| + |b|)) / 2 tokens at least, and one at least unless both
     link to the leader, which then joins them.  With D_a <= D_b this bounds two
-    prefixes, a short one of a and a longer one of b, in an order that has the
-    leader's own tokens last: all its near copies lack these.
+    prefixes, a short one of a and a longer one of b, in the common order but with
+    the leader's own tokens last: all its near copies lack these.  What stands behind
+    the first shared one in both differences must be enough, too.
     """
     heads = _leaders(heavy).select("token", F.col("node2").alias("leader"))
-    met = heavy.join(heads, "token").select("leader", "node", "n", "root").distinct()
+    met = heavy.join(heads.hint("merge"), "token").select("leader", "node", "n", "root").distinct()
     met = settle(met, "heavy")
-    sets = _whole_sets(rows, classes, met.select("node").union(met.select("leader")), width).select("node", "keys")
-    both = met.where("node <> leader").join(sets.toDF("node", "s"), "node").join(sets.toDF("leader", "sl"), "leader")
+    sets = _whole_sets(c, met.select("node").union(met.select("leader")))
+    both = met.where("node <> leader").join(sets.toDF("node", "s").hint("merge"), "node").join(sets.toDF("leader", "sl").hint("merge"), "leader")
+    # array_except keeps the order of its first array.
     delta = F.concat(F.array_except("s", "sl"), F.array_except("sl", "s"))
     both = both.select("leader", "node", "n", "root", delta.alias("delta"))
-    c, t = (den - num) / (den + num), num / den
-    need = lambda share: F.greatest(F.lit(1), F.ceil(F.col("d") - F.col("n") * share - 1e-9))
+    share, t = (c.den - c.num) / (c.den + c.num), c.num / c.den
+    need = lambda of: F.greatest(F.lit(1), F.ceil(F.col("d") - F.col("n") * of - 1e-9))
     both = both.withColumn("d", F.size("delta")).withColumns({"short": F.col("d") - need((1 - t) / (2 * t)) + 1, "long": F.col("d") - need((1 - t) / t) + 1})
     both = settle(both.select("leader", "node", "n", "root", "d", "short", F.slice("delta", F.lit(1), F.least("long", "d").cast("int")).alias("first")), "differences")
     discard(sets)
     one = both.select("leader", "node", "n", "root", "d", "short", F.posexplode("first").alias("place", "token"))
-    two = one.select("leader", "token", *(F.col(x).alias(f"{x}2") for x in ("node", "n", "root", "d")))
+    two = one.select("leader", "token", *(F.col(x).alias(f"{x}2") for x in ("node", "n", "root", "d", "place")))
     first = F.struct("d", "node") < F.struct("d2", "node2")
-    fits = (F.col("n") * den >= F.col("n2") * num) & (F.col("n2") * den >= F.col("n") * num)
-    pairs = one.where("place < short").join(two, ["leader", "token"]).where(first & fits & (F.col("root") != F.col("root2")))
-    shared = pairs.groupBy("leader", "node", "node2").agg(F.first("root").alias("root"))
-    close = shared.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b"))
+    room = F.least(F.col("d") - F.col("place"), F.col("d2") - F.col("place2"))
+    enough = F.col("d") + F.col("d2") - share * (F.col("n") + F.col("n2")) <= 2 * room + 1e-6
+    pairs = one.where("place < short").join(two.hint("merge"), ["leader", "token"]).where(first & c.fits() & enough & (F.col("root") != F.col("root2")))
+    close = pairs.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
     # The leader itself against each class.
-    at_leader = both.join(met.where("node = leader").select("leader", F.col("n").alias("n2"), F.col("root").alias("root2")).distinct(), "leader").where((F.col("d") <= c * (F.col("n") + F.col("n2")) + 1e-9) & (F.col("root") != F.col("root2")))
-    return close.union(at_leader.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")))
-
-
-def _bins(keys: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((keys >> _U(56)).astype(np.int64), minlength=256), 65535).astype(np.uint16).tobytes()
+    own = met.where("node = leader").select("leader", F.col("n").alias("n2"), F.col("root").alias("root2")).distinct()
+    at_leader = both.join(own.hint("merge"), "leader").where((F.col("d") <= share * (F.col("n") + F.col("n2")) + 1e-9) & (F.col("root") != F.col("root2")))
+    out = settle(close.union(at_leader.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))), "close")
+    discard(met)
+    discard(both)
+    return out
 
 
 def _most_common(a: Column, b: Column) -> Column:
     """The most tokens that two sets can share by their bins; a full bin bounds nothing."""
     @F.pandas_udf("bigint")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = np.zeros(len(x), np.int64)
-        for i, (u, v) in enumerate(zip(x, y)):
-            m = np.minimum(np.frombuffer(u, np.uint16), np.frombuffer(v, np.uint16))
-            out[i] = m.sum(dtype=np.int64) if m.max(initial=0) < 65535 else 1 << 40
-        return pd.Series(out)
+        if not len(x):
+            return pd.Series([], dtype="int64")
+        u, v = (np.frombuffer(b"".join(s), np.uint8).reshape(-1, BINS) for s in (x, y))
+        m = np.minimum(u, v)
+        return pd.Series(np.where(m.max(1) < 255, m.sum(1, dtype=np.int64), 1 << 40))
 
     return run(a, b)
 
 
-def _whole_sets(rows: DataFrame, classes: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """(node, keys, bins) of the classes in nodes, from their texts.
+def _whole_sets(c: _Corpus, nodes: DataFrame) -> DataFrame:
+    """(node, keys) of the classes in nodes, from their texts; keys in the common order.
 
     A bit for each hashed key, in a vector of fixed size, spares most of the other
     texts the way to the join that finds the rows.
     """
-    wanted = settle(classes.join(nodes.distinct().hint("merge"), "node", "left_semi").select("node", F.col("first_key").alias("wanted_key"), "h1", "h2"), "wanted")
-    bit = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << FILTER_BITS))
+    wanted = settle(c.classes.join(nodes.distinct().hint("merge"), "node", "left_semi").select("node", F.col("first_key").alias("wanted_key"), "h1", "h2"), "wanted")
+    bit = lambda x: F.pmod(F.xxhash64(x), F.lit(1 << FILTER_BITS))
     bits = np.zeros(1 << FILTER_BITS, bool)
     found = wanted.select(bit("wanted_key").alias("bit")).groupBy((F.col("bit") / 4096).cast("int").alias("page")).agg(F.collect_set((F.col("bit") % 4096).cast("int")).alias("at"))
     for r in found.toLocalIterator():
         bits[r["page"] * 4096 + np.array(r["at"])] = True
-    sent = rows.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    sent, rarity, width = c.rows.sparkSession.sparkContext.broadcast(np.packbits(bits)), c.rarity, c.width
 
     @F.pandas_udf("boolean")
     def maybe(at: pd.Series) -> pd.Series:
@@ -339,16 +381,20 @@ def _whole_sets(rows: DataFrame, classes: DataFrame, nodes: DataFrame, width: in
         return pd.Series((sent.value[x >> 3] >> (7 - (x & 7)) & 1).astype(bool))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()
         for b in batches:
             w1, w2 = (b.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-            for i, j, keys, at in _sets(b, 1, width):
-                h1, h2 = _digests(keys, at)
-                same = np.flatnonzero((h1 == w1[i:j]) & (h2 == w2[i:j]))
-                if len(same):
-                    ends = np.concatenate(([0], np.cumsum(np.diff(at)[same])))
-                    picked = np.concatenate([keys[at[x] : at[x + 1]] for x in same])
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).take(pa.array(same)), ta.list_array(picked.view(np.int64), ends), pa.array([_bins(keys[at[x] : at[x + 1]]) for x in same], pa.binary())], names=["node", "keys", "bins"])
-
-    # Rows can repeat, and so can a class here; its links are made distinct later.
-    joined = rows.where(maybe(bit("key"))).join(wanted.hint("merge"), rows["key"].eqNullSafe(F.col("wanted_key"))).select("node", "text", "h1", "h2")
-    return settle(joined.mapInArrow(run, "node bigint, keys array<bigint>, bins binary"), "sets")
+            for i, j, sets, _ in _ordered(b, 1, width, rarity.value):
+                at = np.concatenate(([0], np.cumsum([len(x) for x in sets])))
+                h1, h2 = _digests(np.concatenate(sets), at)
+                nodes = b.column(0).slice(i, j - i).to_pylist()
+                # Repeated rows of a class are read once in a task; its links are made distinct later.
+                same = [x for x in np.flatnonzero((h1 == w1[i:j]) & (h2 == w2[i:j])) if nodes[x] not in done and not done.add(nodes[x])]
+                if same:
+                    ends = np.concatenate(([0], np.cumsum([len(sets[x]) for x in same])))
+                    yield pa.RecordBatch.from_arrays([pa.array([nodes[x] for x in same], pa.int64()), ta.list_array(np.concatenate([sets[x] for x in same]).view(np.int64), ends)], names=["node", "keys"])
+
+    joined = c.rows.where(maybe(bit("key"))).join(wanted.hint("merge"), c.rows["key"].eqNullSafe(F.col("wanted_key"))).select("node", "text", "h1", "h2")
+    out = settle(joined.mapInArrow(run, "node bigint, keys array<bigint>"), "sets")
+    discard(wanted)
+    return out

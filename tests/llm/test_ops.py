@@ -186,6 +186,76 @@ def test_multimatch_join_of_many_copies_with_longer_texts(spark):
     assert got == brute_links(rows, 3, 90, 100) and {c for _, _, c in got} == {0}
 
 
+def shared_passages(seed, n=1000):
+    """Random texts with shared passages, every third followed by an edited copy."""
+    r = random.Random(seed)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    passages = [[r.choice(vocabulary) for _ in range(40)] for _ in range(8)]
+    texts = []
+    while len(texts) < n:
+        w = [r.choice(vocabulary) for _ in range(r.randint(2, 40))]
+        for _ in range(r.randint(0, 2)):
+            at = r.randint(0, len(w))
+            w[at:at] = r.choice(passages)
+        texts.append(w)
+        if len(texts) % 3 == 0:
+            w = list(w)
+            for _ in range(r.randint(1, 3)):
+                at = r.randrange(len(w) + 1)
+                w[at : at + r.randint(0, 1)] = [r.choice(vocabulary)][: r.randint(0, 1)]
+            texts.append(w or ["left"])
+    return [(i, " ".join(w), None) for i, w in enumerate(texts)]
+
+
+def indexed_links(rows, width, num, den):
+    """brute_links over the pairs that share a shingle."""
+    sets = []
+    for _, text, _ in rows:
+        w = words((text or "").translate(LOW))
+        sets.append({tuple(w[i : i + width]) for i in range(max(1, len(w) - width + 1))} if w else set())
+    root, lists = list(range(len(rows))), collections.defaultdict(list)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, s in enumerate(sets):
+        common = collections.Counter(j for t in s for j in lists[t])
+        for j, n in common.items():
+            if den * n >= num * (len(s) + len(sets[j]) - n):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+        for t in s:
+            lists[t].append(i)
+    return collections.Counter((k, len(sets[i]), find(i)) for i, (k, _, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize(("width", "num", "den", "light"), [(3, 90, 100, 24), (5, 8, 10, 2)])
+def test_multimatch_join_of_shared_passages(spark, monkeypatch, width, num, den, light):
+    """Sizes at which classes of different k meet, by short and by long lists."""
+    monkeypatch.setattr(multimatch, "LIGHT", light)
+    rows = shared_passages(width + light)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = collections.Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in multimatch.link(df, width=width, num=num, den=den).collect())
+    assert got == indexed_links(rows, width, num, den)
+
+
+def test_ranks_are_whole_numbers_and_one_order(spark):
+    r = random.Random(4)
+    texts = [" ".join(r.choice("abcdef") for _ in range(r.randint(0, 30))) for _ in range(50)]
+    rarity = multimatch.measure_rarity(spark.createDataFrame([(t,) for t in texts], "text string"), 3)
+    assert {rarity.excess.dtype, rarity.words.dtype} == {np.dtype("int32")} and isinstance(rarity.total, int)
+    import pyarrow as pa
+
+    seen = {}
+    for _, _, sets, ranks in multimatch._ordered(pa.RecordBatch.from_arrays([pa.array(texts)], names=["t"]), 0, 3, rarity):
+        for keys, rank in zip(sets, ranks):
+            assert list(zip(rank, keys)) == sorted(zip(rank, keys))
+            for k, x in zip(keys, rank):
+                assert seen.setdefault(k, x) == x
+
+
 def test_toxicity(spark):
     r = random.Random(3)
     clean = lambda: " ".join(r.choice(["the", "house", "is", "green", "and", "water", "runs"]) for _ in range(30)) + "."

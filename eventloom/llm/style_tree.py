@@ -5,13 +5,18 @@ one node of the site's tree.  A node has presentation styles (the sequences of
 children it is written with) and contents (the texts that stand in it).  Its
 presentation importance is the entropy of its styles; its content importance is 1
 less the mean normalised entropy of its texts over the pages, so texts of one page
-alone count 1 and texts that come again on page after page near 0.  Both are
-mixed, and weighed by what the path's names say of it (an article, or a menu, an
-advert, comments, ...), which alone decides on hosts of a page or two.  Branches
-below LEAST are removed from each page; what stays is its text.
+alone count 1 and texts that come again on page after page near 0.  Text that is
+mostly links counts against a node.  These are summed as log odds, and what the
+path's names say (an article, or a menu, an advert, comments, ...) is a prior beside
+them, which they can outweigh: a list of links that repeats goes from an article, and
+a name of noise around nearly all of a site's text (a form around the page) says
+nothing there.  On sites that mark their article, what stands outside it under names
+that say nothing has the odds against it.  Branches of negative odds are removed from
+each page; what stays is its text.
 
 What is gathered of a site is counts of hashes, summed before any row meets the
-others of its host; a host's tree comes back to its pages by a join on the host.
+others of its host.  To its pages come back only the paths that the tree decides
+otherwise than their names say.
 
 Defined results: null and empty pages, and pages without any branch left, have the
 empty text and 0 characters; a null url's host is the empty one; repeated rows are
@@ -24,6 +29,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -32,12 +38,13 @@ from pyspark.sql import functions as F
 
 from .tables import settle
 
-#: Share of presentation in a node's importance, and the importance below which a branch goes.
-PRESENTATION, LEAST = 0.1, 0.5
-#: Weights of paths by their names.
-NOISE, PLAIN, MAIN = 0.4, 1.0, 3.0
-#: A host's nodes that its tree keeps apart in a path; deeper elements count to the last.
-DEPTH = 24
+#: Log odds: of a text of one page alone (and less it, of one on all pages), of styles of full entropy, of text that is all links.
+CONTENT, PRESENTATION, LINKS = 2.0, 0.5, -2.5
+#: Log odds that names give, and those of a nameless node outside the article of a site that marks it.
+NOISE, PLAIN, MAIN = 0, 1, 2
+NAMES, OUTSIDE = (-2.8, 0.0, 2.6), -2.2
+#: Share of a site's text from which a name of noise says nothing, and a marked article is its main part.
+WRAPPER, MARKED = 0.9, 0.5
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[a-zA-Z/!?][^>]*(?:>|\Z)", re.S)
 MARK = re.compile(r"\b(?:id|class|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -53,10 +60,10 @@ NOISE_NAME = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|banner|sponsor\w*|promo\
 MAIN_NAME = re.compile(r"(?:^|[-_\s])(?:article|content|main|post|entry|story|body-text)(?:$|[-_\s\d])", re.I)
 
 
-def _label(tag: str, attrs: str) -> tuple[str, float]:
-    """An element's name in a path, and the weight that it says."""
+def _label(tag: str, attrs: str) -> tuple[str, int]:
+    """An element's name in a path, and what it says."""
     names = " ".join(sorted({m.strip("\"'") for m in MARK.findall(attrs)})) if "=" in attrs else ""
-    names = re.sub(r"\d+", "#", names)[:80]
+    names = re.sub(r"\d+", "#", names)
     label = f"{tag}[{names}]" if names else tag
     if tag in NOISE_TAGS or names and NOISE_NAME.search(names):
         return label, NOISE
@@ -65,33 +72,69 @@ def _label(tag: str, attrs: str) -> tuple[str, float]:
     return label, PLAIN
 
 
-def blocks(page: str, seen: Counter | None = None) -> Iterator[tuple[str, float, str]]:
-    """(path, weight, text) of the blocks of a page in order; seen: counts (path, style) of its elements."""
-    stack: list[list] = []  # tag, label, path, weight, children
+class Node(NamedTuple):
+    """An element's place in the tree: paths are hashes, so depth costs nothing."""
+
+    path: int
+    kind: int
+    #: The outermost element of a noisy name around it, or 0, and its kind without that one.
+    outer: int
+    inner: int
+    heading: bool
+
+
+ROOT = Node(0, PLAIN, 0, PLAIN, False)
+
+
+def _hash(s: str, seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest(s, seed) - (1 << 63)
+
+
+def _below(up: int, own: int) -> int:
+    """A noisy name anywhere above, or this one, wins; then one of an article."""
+    return NOISE if NOISE in (up, own) else max(up, own)
+
+
+def blocks(page: str, seen: Counter | None = None) -> Iterator[tuple[Node, str, float]]:
+    """(node, text, share of links) of the blocks of a page in order; seen: counts (node, style) of its elements."""
+    stack: list[list] = []  # tag, node, hash of the children, last child
     text: list[str] = []
-    at, n = 0, len(page)
-    labels: dict[tuple[str, str], tuple[str, float]] = {}
+    at, n, in_link, linked, whole = 0, len(page), False, 0, 0
+    labels: dict[tuple[str, str], tuple[str, int]] = {}
+
+    def add(segment: str) -> None:
+        nonlocal linked, whole
+        text.append(segment)
+        size = len(segment.strip())
+        whole += size
+        linked += size * in_link
 
-    def flush() -> Iterator[tuple[str, float, str]]:
+    def flush() -> Iterator[tuple[Node, str, float]]:
+        nonlocal linked, whole
         if text:
             joined = " ".join(html.unescape("".join(text)).split())
             text.clear()
+            share, linked, whole = linked / max(whole, 1), 0, 0
             if joined:
-                yield (stack[-1][2], stack[-1][3], joined) if stack else ("", PLAIN, joined)
+                yield (stack[-1][1] if stack else ROOT), joined, share
 
     def close(k: int) -> None:
         while len(stack) > k:
-            _, _, path, _, children = stack.pop()
+            _, node, style, _ = stack.pop()
             if seen is not None:
-                seen[path, ",".join(children[:64])] += 1
+                seen[node, style] += 1
+
+    def child(label: str) -> None:
+        if stack and stack[-1][3] != label:
+            stack[-1][2], stack[-1][3] = _hash(label, stack[-1][2] & (1 << 64) - 1), label
 
     while at < n:
         m = TOKEN.search(page, at)
         if m is None:
-            text.append(page[at:])
+            add(page[at:])
             break
         if m.start() > at:
-            text.append(page[at : m.start()])
+            add(page[at : m.start()])
         at = m.end()
         tag = m[2]
         if tag is None:
@@ -103,8 +146,10 @@ def blocks(page: str, seen: Counter | None = None) -> Iterator[tuple[str, float,
                 at = end.end() if end else n
             continue
         if tag in INLINE:
-            if stack and not m[1] and len(stack[-1][4]) < 64:
-                stack[-1][4].append(tag)
+            if tag == "a":
+                in_link = not m[1]
+            if not m[1]:
+                child(tag)
             continue
         if tag in VOID:
             if tag in ("br", "hr"):
@@ -112,6 +157,7 @@ def blocks(page: str, seen: Counter | None = None) -> Iterator[tuple[str, float,
             continue
         yield from flush()
         if m[1]:
+            in_link = False
             k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
             if k is not None:
                 close(k)
@@ -123,26 +169,26 @@ def blocks(page: str, seen: Counter | None = None) -> Iterator[tuple[str, float,
         found = labels.get((tag, m[3]))
         if found is None:
             found = labels[tag, m[3]] = _label(tag, m[3])
-        label, weight = found
-        if tag == "header" and weight == PLAIN and not (stack and stack[-1][3] == MAIN):
-            weight = NOISE  # of the site; an article's own has its title
-        if stack:
-            up = stack[-1]
-            if len(up[4]) < 64 and (not up[4] or up[4][-1] != label):
-                up[4].append(label)
-            # A noisy name anywhere above, or this one, wins; then one of an article.
-            if weight != NOISE and up[3] != PLAIN:
-                weight = up[3]
-            path = f"{up[2]}/{label}" if len(stack) < DEPTH else up[2]
+        label, kind = found
+        up = stack[-1][1] if stack else ROOT
+        if tag == "header" and kind == PLAIN and up.kind != MAIN:
+            kind = NOISE  # of the site; an article's own has its title
+        child(label)
+        path = _hash(label, up.path & (1 << 64) - 1)
+        if up.outer:
+            node = Node(path, NOISE, up.outer, _below(up.inner, kind), tag == "h1")
+        elif kind == NOISE:
+            node = Node(path, NOISE, path, up.kind, tag == "h1")
         else:
-            path = label
-        stack.append([tag, label, path, weight, []])
+            node = Node(path, both := _below(up.kind, kind), 0, both, tag == "h1")
+        stack.append([tag, node, 0, None])
     yield from flush()
     close(0)
 
 
-def _hash(s: str) -> int:
-    return xxhash.xxh64_intdigest(s) - (1 << 63)
+def odds(content, style, links, names):
+    """Log odds that a node's text is the page's own; numbers or columns."""
+    return CONTENT * (2 * content - 1) + PRESENTATION * style + LINKS * links + names
 
 
 def host_of(url: F.Column) -> F.Column:
@@ -150,56 +196,92 @@ def host_of(url: F.Column) -> F.Column:
 
 
 def site_trees(rows: DataFrame) -> DataFrame:
-    """(host, importance: map of path to importance) from rows (host, html); equal pages of a host count once."""
-    rows = rows.withColumn("page", F.xxhash64("html"))
+    """(host, wrappers, marked, cut, kept) from rows (host, html); equal pages of a host count once.
+
+    wrappers: noisy names that say nothing there; marked: whether the site marks its
+    article; cut and kept: the paths that are decided against what their names say.
+    """
+    rows = rows.where("html <> ''").withColumn("page", F.xxhash64("html"))
+    fields = {"host": pa.string(), "path": pa.int64(), "content": pa.bool_(), "value": pa.int64(), "page": pa.int64(), "size": pa.int64(), "links": pa.float64(), "kind": pa.int32(), "outer": pa.int64(), "inner": pa.int32(), "heading": pa.bool_()}
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
             for host, page, copy in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if not page:
-                    continue
                 seen: Counter = Counter()
-                texts = {(path, _hash(t)) for path, _, t in blocks(page, seen)}
-                out += [(host, path, True, h, copy) for path, h in texts]
-                out += [(host, path, False, _hash(style), copy) for path, style in seen]
-            cols = list(zip(*out)) if out else [[], [], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64()))], names=["host", "path", "content", "value", "page"])
-
-    values = rows.mapInArrow(read, "host string, path string, content boolean, value bigint, page bigint").groupBy("host", "path", "content", "value").agg(F.count_distinct("page").alias("k"))
-    pages = rows.where("html <> ''").groupBy("host").agg(F.count_distinct("page").alias("m"))
+                texts = {(node.path, _hash(t)): (node, len(t), links) for node, t, links in blocks(page, seen)}
+                out += [(host, path, True, h, copy, size, links, node.kind, node.outer, node.inner, node.heading) for (path, h), (node, size, links) in texts.items()]
+                out += [(host, node.path, False, style, copy, 0, 0.0, node.kind, node.outer, node.inner, node.heading) for node, style in seen]
+            cols = list(zip(*out)) if out else [[] for _ in fields]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, fields.values())], names=list(fields))
+
+    schema = ", ".join(f"{k} {v}" for k, v in zip(fields, ("string", "bigint", "boolean", "bigint", "bigint", "bigint", "double", "int", "bigint", "int", "boolean")))
+    own = ("kind", "outer", "inner", "heading")
+    values = rows.mapInArrow(read, schema).groupBy("host", "path", "content", "value").agg(F.count_distinct("page").alias("k"), F.max("size").alias("size"), F.max("links").alias("links"), *(F.max(c).alias(c) for c in own))
+    pages = rows.groupBy("host").agg(F.count_distinct("page").alias("m"))
+    weight, words = F.col("k") * F.log("k"), F.col("k") * F.col("size")
     nodes = values.groupBy("host", "path").agg(
         # Texts on k of m pages, evenly: entropy log k / log m; each text of a page counts.
-        F.sum(F.when(F.col("content"), F.col("k") * F.log("k"))).alias("spread"),
+        F.sum(F.when(F.col("content"), weight)).alias("spread"),
         F.sum(F.when(F.col("content"), F.col("k"))).alias("texts"),
-        F.sum(F.when(~F.col("content"), F.col("k") * F.log("k"))).alias("style_spread"),
+        F.sum(F.when(~F.col("content"), weight)).alias("style_spread"),
         F.sum(F.when(~F.col("content"), F.col("k"))).alias("styles"),
+        F.sum(words).alias("size"),
+        F.sum(words * F.col("links")).alias("linked"),
+        *(F.max(c).alias(c) for c in own),
     )
-    nodes = nodes.join(pages, "host")
+    nodes = settle(nodes.where("texts > 0").join(pages, "host"), "nodes")
+    sites = nodes.groupBy("host").agg(F.sum("size").alias("whole"))
+    branches = nodes.where("outer <> 0").groupBy("host", "outer").agg(F.sum("size").alias("size")).join(sites, "host")
+    wrappers = branches.groupBy("host").agg(F.collect_list(F.when(F.col("size") >= WRAPPER * F.col("whole"), F.col("outer"))).alias("wrappers"))
+    sites = sites.join(wrappers, "host", "left").withColumn("wrappers", F.coalesce("wrappers", F.array().cast("array<bigint>")))
+    seen = nodes.join(sites, "host").withColumn("says", F.when(F.array_contains("wrappers", F.col("outer")), F.col("inner")).otherwise(F.col("kind")))
+    marked = seen.groupBy("host").agg((F.sum(F.when(F.col("says") == MAIN, F.col("size")).otherwise(0)) >= MARKED * F.first("whole")).alias("marked"))
+    seen = seen.join(marked, "host")
     log_m = F.log(F.greatest(F.col("m"), F.lit(2)).cast("double"))
-    content = F.when(F.col("m") < 2, 1.0).otherwise(1 - F.least(F.lit(1.0), F.col("spread") / F.col("texts") / log_m))
-    style = F.when(F.col("m") < 2, 1.0).otherwise(F.greatest(F.lit(0.0), F.log(F.col("styles").cast("double")) - F.col("style_spread") / F.col("styles")) / log_m)
-    nodes = nodes.where("texts > 0").withColumn("importance", PRESENTATION * F.coalesce(style, F.lit(0.0)) + (1 - PRESENTATION) * content)
-    return nodes.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("path", "importance"))).alias("importance"))
+    content = 1 - F.least(F.lit(1.0), F.col("spread") / F.col("texts") / log_m)
+    style = F.coalesce(F.greatest(F.lit(0.0), F.log(F.col("styles").cast("double")) - F.col("style_spread") / F.col("styles")) / log_m, F.lit(0.0))
+    names = F.when(F.col("says") == NOISE, NAMES[NOISE]).when(F.col("says") == MAIN, NAMES[MAIN]).when(F.col("marked") & ~F.col("heading"), OUTSIDE).otherwise(NAMES[PLAIN])
+    keeps = odds(content, style, F.col("linked") / F.greatest(F.col("size"), F.lit(1)), names) >= 0
+    usual = (F.col("says") != NOISE) & ~((F.col("says") == PLAIN) & F.col("marked") & ~F.col("heading"))
+    return seen.groupBy("host").agg(
+        F.first("wrappers").alias("wrappers"),
+        F.first("marked").alias("marked"),
+        F.collect_list(F.when(~keeps & usual, F.col("path"))).alias("cut"),
+        F.collect_list(F.when(keeps & ~usual, F.col("path"))).alias("kept"),
+    )
+
+
+class Site:
+    """What a page needs to know of its site."""
+
+    def __init__(self, wrappers=(), marked: bool = False, cut=(), kept=()):
+        self.wrappers, self.marked, self.cut, self.kept = frozenset(wrappers), marked, frozenset(cut), frozenset(kept)
+
+    def keeps(self, node: Node) -> bool:
+        """As the names say, but for the paths that the tree decides otherwise."""
+        if node.path in self.cut or node.path in self.kept:
+            return node.path in self.kept
+        says = node.inner if node.outer in self.wrappers else node.kind
+        return says == MAIN or says == PLAIN and (node.heading or not self.marked)
 
 
-def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", page: str = "html", least: float = LEAST) -> DataFrame:
+def extract(pages: DataFrame, *, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """Returns ``key``, ``url``, text and n_chars (its code points) of every page."""
     rows = pages.select(pages[key].alias("key"), pages[url].cast("string").alias("url"), pages[page].cast("string").alias("html"))
     rows = rows.withColumn("host", host_of(F.col("url")))
-    trees = settle(site_trees(rows.select("host", "html")), "trees")
+    facts = ("wrappers", "marked", "cut", "kept")
+    trees = settle(site_trees(rows.select("host", "html")), "trees").select("host", F.struct(*facts).alias("site"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = []
-            names = b.schema.names
-            trees_, last, tree = b.column(names.index("importance")), None, {}
-            for i, doc in enumerate(b.column(names.index("html")).to_pylist()):
-                host = b.column(names.index("host"))[i].as_py()
+            texts, names = [], b.schema.names
+            sites, last, site = b.column(names.index("site")), None, Site()
+            for i, (host, doc) in enumerate(zip(b.column(names.index("host")).to_pylist(), b.column(names.index("html")).to_pylist())):
                 if host != last:
-                    last, tree = host, dict(trees_[i].as_py() or ())
-                texts.append(" ".join(t for path, weight, t in blocks(doc or "") if tree.get(path, 1.0) * weight >= least))
+                    last, site = host, Site(**(sites[i].as_py() or {}))
+                texts.append(" ".join(t for node, t, _ in blocks(doc or "") if site.keeps(node)))
             yield pa.RecordBatch.from_arrays([b.column(names.index("key")), b.column(names.index("url")), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=[key, url, "text", "n_chars"])
 
     kind = rows.schema["key"].dataType.simpleString()
-    return rows.join(trees, "host", "left").select("key", "url", "html", "host", "importance").mapInArrow(cut, f"`{key}` {kind}, `{url}` string, text string, n_chars bigint")
+    return rows.join(trees, "host", "left").select("key", "url", "html", "host", "site").mapInArrow(cut, f"`{key}` {kind}, `{url}` string, text string, n_chars bigint")

@@ -27,8 +27,8 @@ ROUNDS, CHANGE = 25, 1e-4
 #: First values, which are also the means of the accuracies' priors: a rule seldom
 #: votes bad on a good text, and knows one kind of bad text among several.
 FIRST_PRIOR, FIRST_GOOD, FIRST_BAD = 0.85, 0.995, 0.2
-#: Weight of these priors, as votes for each text of the corpus.
-WEIGHT_GOOD, WEIGHT_BAD = 1.0, 0.02
+#: Weight of these priors, as votes: a fixed number, so what the corpus says outweighs it.
+PRIOR_VOTES = 50.0
 KEEP = 0.5
 
 
@@ -97,11 +97,11 @@ def fit(votes: DataFrame, names: list[str], *, rounds: int = ROUNDS) -> dict[str
         s = now.agg(*sums).first().asDict()
         if not s["n"]:
             return p
-        ratio = lambda x, y, mean, weight: ((x or 0.0) + mean * weight * s["n"]) / ((y or 0.0) + weight * s["n"])
+        ratio = lambda x, y, mean: ((x or 0.0) + mean * PRIOR_VOTES) / ((y or 0.0) + PRIOR_VOTES)
         old, p = p, {"prior": (s["prior"] + 1) / (s["n"] + 2)}
         for r in names:
-            p[f"good_{r}"] = ratio(s[f"gg_{r}"], s[f"g_{r}"], FIRST_GOOD, WEIGHT_GOOD)
-            p[f"bad_{r}"] = ratio(s[f"bb_{r}"], s[f"b_{r}"], FIRST_BAD, WEIGHT_BAD)
+            p[f"good_{r}"] = ratio(s[f"gg_{r}"], s[f"g_{r}"], FIRST_GOOD)
+            p[f"bad_{r}"] = ratio(s[f"bb_{r}"], s[f"b_{r}"], FIRST_BAD)
         if max(abs(p[k] - old[k]) for k in p) < CHANGE:
             break
     return p

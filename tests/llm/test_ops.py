@@ -129,6 +129,93 @@ def test_style_tree_counts_copies_of_a_page_once(spark):
     assert got == sorted((k, f"Title {k - 1} Words of page {k - 1}") for k, _, _ in rows)
 
 
+def brute_extract(rows):
+    """The style tree in plain dictionaries: texts of all pages in their order."""
+    host = lambda u: (re.search(r"^.*?://([^/?#]*)", u or "") or [None, ""])[1].lower()
+    out = []
+    for url, page in rows:
+        own = {p for u, p in rows if p and host(u) == host(url)}
+        m, contents, styles, size, linked, nodes = len(own), collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter), collections.Counter(), collections.Counter(), {}
+        most = {}
+        for p in own:
+            seen, texts = collections.Counter(), {}
+            for node, t, links in style_tree.blocks(p, seen):
+                texts[node, t] = links
+                nodes[node.path] = node
+            for (node, t), links in texts.items():
+                contents[node.path][t] += 1
+                most[node.path, t] = max(most.get((node.path, t), 0), links)
+            for node, style in seen:
+                styles[node.path][style] += 1
+        for path, c in contents.items():
+            for t, k in c.items():
+                size[path] += k * len(t)
+                linked[path] += k * len(t) * most[path, t]
+        whole = sum(size.values())
+        branch = collections.Counter()
+        for path, n in size.items():
+            branch[nodes[path].outer] += n
+        says = {p: n.inner if n.outer and branch[n.outer] >= style_tree.WRAPPER * whole else n.kind for p, n in nodes.items()}
+        marked = sum(size[p] for p in nodes if says[p] == style_tree.MAIN) >= style_tree.MARKED * whole
+        entropy = lambda c: sum(k * math.log(k) for k in c.values()) / max(1, sum(c.values()))
+
+        def keeps(path):
+            log_m = math.log(max(m, 2))
+            content = 1 - min(1.0, entropy(contents[path]) / log_m)
+            n = sum(styles[path].values())
+            style = max(0.0, math.log(n) - entropy(styles[path])) / log_m if n else 0.0
+            names = style_tree.NAMES[says[path]]
+            if says[path] == style_tree.PLAIN and marked and not nodes[path].heading:
+                names = style_tree.OUTSIDE
+            return style_tree.odds(content, style, linked[path] / max(size[path], 1), names) >= 0
+
+        out.append(" ".join(t for node, t, _ in style_tree.blocks(page or "") if keeps(node.path)))
+    return out
+
+
+def test_style_tree_is_the_plain_one(spark):
+    """Random sites of templates with named and nameless parts, some of which repeat."""
+    r = random.Random(8)
+    line = lambda: " ".join(r.choice("ab cd ef gh ij kl mn".split()) for _ in range(r.randint(1, 9)))
+    fixed = [line() for _ in range(6)]
+    parts = ["<nav><a href=/>%s</a></nav>", "<div class=x1><a href=/>%s</a></div>", "<div class=x2>%s</div>", "<p>%s</p>", "<article><h1>%s</h1><p>%s", "<div class='comments'>%s</div>", "<h1>%s</h1>", "<form><div id=main>%s</div><section>%s</section></form>", "<footer>%s</footer>"]
+    rows = []
+    for h in range(8):
+        mine = r.sample(parts, 5)
+        for i in range(r.randint(1, 7)):
+            page = "".join(p.replace("%s", r.choice([line(), line(), r.choice(fixed)])) for p in mine if r.random() < 0.9)
+            rows.append((f"http://h{h}.org/{i}", page))
+    rows += [*rows[:3], (None, rows[0][1]), ("http://h0.org/null", None), ("http://h1.org/deep", "<div>" * 3000 + "<p>deep text")]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "page_id long, url string, html string")
+    got = {x["page_id"]: x["text"] for x in style_tree.extract(df).collect()}
+    expected = brute_extract(rows)
+    assert [got[i] for i in range(len(rows))] == expected
+    assert sum(map(bool, expected)) > len(rows) / 2
+
+
+def test_style_tree_outweighs_names(spark):
+    """Parts under names that no list knows, and names that say something else."""
+    unique = lambda i, n=12: " ".join(f"w{i}x{k}" for k in range(n))
+    inside = "<h1>T%d</h1><p>%s</p><p>%s</p>"
+    rows = []
+    for i in range(20):
+        body = inside % (i, unique(i, 60), unique(100 + i, 60))
+        # An article that is marked; a sidebar, an advert and reader comments under unknown names, a repeated list of links in the article.
+        rows.append((i, f"http://marked.com/{i}", f"<div class=q1><a href=/>same</a> <a href=/>links</a></div><article>{body}<div class=q9><a href=/1>More here</a></div></article><div class=q2>{unique(200 + i)}</div><section class=q3><p>{unique(300 + i)}</p></section>"))
+        # The whole page in a form; its menu has no name but links.
+        rows.append((100 + i, f"http://form.com/{i}", f"<form class=f><div class=z><a href=/>{unique(i, 2)}</a></div><div class=y>{body}</div></form>"))
+    got = {x["page_id"]: x["text"] for x in style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(20):
+        text = f"T{i} {unique(i, 60)} {unique(100 + i, 60)}"
+        assert got[i] == text and got[100 + i] == text
+
+
+def test_style_tree_of_a_very_long_page(spark):
+    page = "<article>" + "".join(f"<p>line {i} of many" for i in range(60_000)) + "</article><footer>f</footer>"
+    text = style_tree.extract(spark.createDataFrame([(1, "http://l.com/", page)], "page_id long, url string, html string")).first()["text"]
+    assert text == " ".join(f"line {i} of many" for i in range(60_000))
+
+
 def brute_links(rows, width, num, den):
     sets = []
     for key, text, _ in rows:
@@ -527,12 +614,22 @@ def test_weak_supervision_matches_plain_em(spark):
         n = len(rows)
         q = {"prior": (sum(w) + 1) / (n + 2)}
         for i, x in enumerate(names):
-            ratio = lambda hit, all_, mean, weight: (hit + mean * weight * n) / (all_ + weight * n)
-            q[f"good_{x}"] = ratio(sum(g for g, v in zip(w, rows) if v[i] == 1), sum(g for g, v in zip(w, rows) if v[i]), quality_rules.FIRST_GOOD, quality_rules.WEIGHT_GOOD)
-            q[f"bad_{x}"] = ratio(sum(1 - g for g, v in zip(w, rows) if v[i] == -1), sum(1 - g for g, v in zip(w, rows) if v[i]), quality_rules.FIRST_BAD, quality_rules.WEIGHT_BAD)
+            ratio = lambda hit, all_, mean: (hit + mean * quality_rules.PRIOR_VOTES) / (all_ + quality_rules.PRIOR_VOTES)
+            q[f"good_{x}"] = ratio(sum(g for g, v in zip(w, rows) if v[i] == 1), sum(g for g, v in zip(w, rows) if v[i]), quality_rules.FIRST_GOOD)
+            q[f"bad_{x}"] = ratio(sum(1 - g for g, v in zip(w, rows) if v[i] == -1), sum(1 - g for g, v in zip(w, rows) if v[i]), quality_rules.FIRST_BAD)
     assert p == pytest.approx(q)
 
 
+def test_a_rule_that_votes_at_random_loses_its_say(spark):
+    """Three rules see bad texts; a fourth calls every third text bad, whatever it is."""
+    rows = [(*((-1 if r == i % 3 or i % 2 == 0 else 1) if i % 5 == 0 else 1 for r in range(3)), -1 if i % 3 == 0 else 1) for i in range(3000)]
+    names = ["a", "b", "c", "wild"]
+    p = quality_rules.fit(spark.createDataFrame(rows, "a int, b int, c int, wild int"), names)
+    assert p["good_wild"] < 0.75 and min(p[f"good_{x}"] for x in "abc") > 0.95
+    good = spark.createDataFrame([(1, 1, 1, -1)], "a int, b int, c int, wild int").select(quality_rules.posterior(p, names).alias("p")).first()["p"]
+    assert good > 0.9
+
+
 def test_neighbours(spark):
     r = random.Random(10)
     good = lambda: " ".join(r.choice(["meadow", "river", "stone", "garden", "window"]) for _ in range(60))

@@ -7,7 +7,9 @@ guarded by their upper bounds, in one Arrow call for a batch of pairs.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -64,6 +66,7 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b)])
 
 
+@lru_cache(1 << 16)
 def strip_particle(token: str) -> str:
     t = (token or "").lower().strip()
     for k, v in lx.HANJA.items():
@@ -71,6 +74,7 @@ def strip_particle(token: str) -> str:
     return next((t[: -len(p)] for p in lx.PARTICLES if len(t) > len(p) + 1 and t.endswith(p)), t)
 
 
+@lru_cache(1 << 16)
 def action_name(token: str) -> str:
     t = strip_particle(token)
     if not t:
@@ -78,6 +82,7 @@ def action_name(token: str) -> str:
     return next((v for k, v in lx.ACTION_ALIASES.items() if k in t), t if t in lx.ACTIONS else "")
 
 
+@lru_cache(1 << 18)
 def related(a: str, b: str) -> bool:
     """Equal, one (3 letters or more) inside the other, or 4 letters and a ratio of 0.82."""
     a, b = strip_particle(a), strip_particle(b)
@@ -166,21 +171,16 @@ def judge_history(c: dict, p: dict, t: HistoryThresholds = HistoryThresholds())
     strong = len(set(_list(c["strong"])) & set(_list(p["strong"])))
     acts = set(_list(c["actions"])) & set(_list(p["actions"]))
     specific = any(a not in lx.WEAK_ACTIONS for a in acts)
+    if not strong:
+        # Without a shared strong anchor only the titles' own rules are left.
+        return _judge_titles(c, p, t, conflict, lambda: max(hard_overlap(ta, tb)[1], soft_overlap(ta, tb)[1]) >= 3)
     hard, soft = hard_overlap(ta, tb), soft_overlap(ta, tb)
     to, tc = max(hard[0], soft[0]), max(hard[1], soft[1])
     if (strong >= 3 and tc >= 3) or (strong >= 2 and specific and tc >= 2) or strong >= 4:
         conflict = False
-    best = 0.0
-    for x in _list(c["titles"])[:16]:
-        for y in _list(p["titles"])[:16]:
-            if not x or not y:
-                continue
-            if x == y:
-                return True, "title_exact", 1.0
-            short, long = sorted((x, y), key=len)
-            if len(short) >= 14 and short in long and not conflict and (tc >= 3 or strong >= 2):
-                return True, "title_contains", len(short) / len(long)
-            best = max(best, ratio(x, y, 0.80))
+    found, best = _titles(c, p, conflict, lambda: tc >= 3 or strong >= 2)
+    if found[0]:
+        return found
     if conflict:
         return NO
     for name, holds, score in (
@@ -210,6 +210,27 @@ def judge_history(c: dict, p: dict, t: HistoryThresholds = HistoryThresholds())
     return NO
 
 
+def _titles(c: dict, p: dict, conflict: bool, backed: Callable[[], bool]) -> tuple[Verdict, float]:
+    """The rules of equal and contained titles over all alias pairs, and the best ratio."""
+    best = 0.0
+    for x in _list(c["titles"])[:16]:
+        for y in _list(p["titles"])[:16]:
+            if not x or not y:
+                continue
+            if x == y:
+                return (True, "title_exact", 1.0), 1.0
+            short, long = sorted((x, y), key=len)
+            if len(short) >= 14 and short in long and not conflict and backed():
+                return (True, "title_contains", len(short) / len(long)), best
+            best = max(best, ratio(x, y, 0.80))
+    return NO, best
+
+
+def _judge_titles(c: dict, p: dict, t: HistoryThresholds, conflict: bool, backed: Callable[[], bool]) -> Verdict:
+    found, best = _titles(c, p, conflict, backed)
+    return found if found[0] else (True, "title_similarity", best) if best >= t.title and not conflict else NO
+
+
 def judge_final(c: dict, p: dict) -> Verdict:
     """Ten rules; here numbers conflict where both titles have some and not the same."""
     a, b = c["title_key"], p["title_key"]
@@ -268,7 +289,19 @@ def cluster_payload(title: Column, body: Column, url_key: Column) -> Column:
     return F.struct(url_key.alias("url_key"), tx.normalize_title(title).alias("title_key"), tx.compact(both).alias("body_key"), tx.cluster_tokens(title, 30).alias("title_tokens"), tx.cluster_tokens(both).alias("tokens"), simhash(tx.cluster_tokens(both)).alias("fingerprint"))
 
 
-def history_payload(title: Column, body: Column) -> Column:
+def history_payload(title: Column, body: Column, alias_titles: Column | None = None) -> Column:
+    """With alias titles these lengthen the text and the title tokens (60 of them, 80 in all), and are compared as titles (16)."""
+    if alias_titles is not None:
+        raw = tx.unique(F.concat(F.array(title), alias_titles), 16)
+        text = F.array_join(tx.unique(F.concat(F.array(title, body), raw)), " ")
+        plain = history_payload(title, text)
+        tokens = lambda x: tx.unique(F.concat(x["title_tokens"], tx.history_tokens(F.array_join(raw, " "), 60)), 80)
+
+        def widen(x: Column) -> Column:
+            every = F.concat(x["tt"], x["p"]["tokens"])
+            return tx.let(F.struct(x.alias("x"), tx.history_anchors(every).alias("anchors"), tx.actions(every).alias("acts")), lambda y: F.struct(tx.unique(F.transform(raw, tx.normalize_title), 16).alias("titles"), y["x"]["p"]["body_key"].alias("body_key"), y["x"]["tt"].alias("title_tokens"), y["x"]["p"]["tokens"].alias("tokens"), tx.strong_anchors(y["anchors"]).alias("strong"), y["x"]["p"]["numbers"].alias("numbers"), y["acts"].alias("actions"), y["x"]["p"]["fingerprint"].alias("fingerprint"), tx.event_key(y["anchors"], y["acts"], y["x"]["p"]["numbers"]).alias("event_key")))
+
+        return tx.let(plain, lambda x: tx.let(F.struct(x.alias("p"), tokens(x).alias("tt")), widen))
     both = F.concat_ws(" ", title, body)
 
     def build(x: Column) -> Column:

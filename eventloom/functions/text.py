@@ -31,6 +31,7 @@ def _replace(c: Column, pairs: Iterable[tuple[str, str]]) -> Column:
     return c
 
 
+# The entities that the rules know, in the order in which they are replaced.
 ENTITIES = (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"))
 
 

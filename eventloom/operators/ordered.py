@@ -95,16 +95,56 @@ def cluster(df: DataFrame, by: list[str], order: str, published: str, payload: s
     return _apply(df.select(*by, order, published, payload), by, schema, run)
 
 
-def past_match(candidates: DataFrame, past: DataFrame, *, ident: str, payload: str, past_order: str, past_payload: str, by: list[str]) -> DataFrame:
-    """The first past row, in stored order, that the history judge takes for the same event; null without one.
+def past_match(candidates: DataFrame, past: DataFrame, *, ident: str, payload: str, past_order: str, past_payload: str, by: list[str], spread: int = 64) -> DataFrame:
+    """The first past row, in stored order, that the history judge takes for the same event; no row without one.
 
-    Candidates don't depend on each other, so they are spread as they are; the past
-    rows of a scope meet them by a join on the scope.
+    A candidate is read against its scope's past in order up to the first match, as
+    no later one counts.  Candidates don't depend on each other, so a scope's are
+    dealt over ``spread`` tasks, each with a copy of the scope's past, which the days
+    that a history is kept bound.
     """
-    left = candidates.select(*by, ident, F.col(payload).alias("__c"))
-    right = past.select(*by, F.col(past_order).alias("__o"), F.col(past_payload).alias("__p"))
-    pairs = left.join(right, by).withColumn("v", sim.judge("history", F.col("__c"), F.col("__p"))).where("v.duplicate")
-    return pairs.groupBy(*by, ident).agg(F.min("__o").alias("matched_order"), F.min_by("v.method", "__o").alias("method"))
+    left = candidates.select(*by, ident, F.col(payload).alias("payload")).withColumn("salt", F.pmod(F.xxhash64(ident), F.lit(spread)).cast("int"))
+    right = past.select(*by, F.col(past_order).alias("past"), F.col(past_payload).alias("payload")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+
+    def run(mine: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
+        known = list(stored.sort_values("past", kind="stable")[["past", "payload"]].itertuples(index=False, name=None))
+        out = []
+        for row, c in zip(mine[[*by, ident]].itertuples(index=False, name=None), mine["payload"]):
+            hit = next(((o, v[1]) for o, p in known if (v := sim.judge_history(c, p))[0]), None)
+            if hit:
+                out.append((*row, *hit))
+        return pd.DataFrame(out, columns=[*by, ident, "matched_order", "method"])
+
+    schema = ", ".join([*(_kind(candidates, c) for c in by), _kind(candidates, ident), f"matched_order {past.schema[past_order].dataType.simpleString()}", "method string"])
+    key = [*by, "salt"]
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, schema)
+
+
+def drop_repeats_of_run(df: DataFrame, by: list[str], section: str, order: str, url_key: str, payload: str) -> DataFrame:
+    """All sections of a run in order; a row goes if a kept row has its url, or else is the same event; a dropped row's url isn't kept.
+
+    A run is one task: it holds the few rows that were selected.  Adds duplicate_of,
+    method and score, null where the row is kept.
+    """
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([section, order], kind="stable")
+        urls: dict[str, object] = {}
+        kept: list[tuple] = []
+        out = []
+        for key, url, p in zip(rows[order], rows[url_key].fillna(""), rows[payload]):
+            if url and url in urls:
+                out.append((urls[url], "final_internal_url", 1.0))
+                continue
+            hit = next(((k, f"final_{v[1]}", v[2]) for k, q in kept if (v := sim.judge_history(p, q))[0]), None)
+            out.append(hit or (None, None, None))
+            if hit is None:
+                kept.append((key, p))
+                if url:
+                    urls[url] = key
+        return pd.concat([rows[[*by, section, order]].reset_index(drop=True), pd.DataFrame(out, columns=["duplicate_of", "method", "score"])], axis=1)
+
+    schema = ", ".join([*(_kind(df, c) for c in (*by, section, order)), f"duplicate_of {df.schema[order].dataType.simpleString()}", "method string", "score double"])
+    return _apply(df.select(*by, section, order, url_key, payload), by, schema, run)
 
 
 def shortlist(df: DataFrame, by: list[str], *, group: str, keywords: str, rank: str, newest: str, final_limit: int, target: int) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import lexicon as lx
+from ..functions.text import ENTITIES
 
 
 def q(s: str) -> str:
@@ -27,9 +28,6 @@ def swap(c: str, pairs) -> str:
     return c
 
 
-ENTITIES = (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"))
-
-
 def gsub(c: str, pattern: str, by: str) -> str:
     return f"regexp_replace({c}, {q(pattern)}, {q(by)}, 'g')"
 
@@ -97,3 +95,11 @@ def page_key(c: str) -> str:
 
 def link_key(c: str) -> str:
     return f"regexp_replace(regexp_replace(regexp_replace({strip(f'lower({c})')}, '^https?://', ''), '^www\\.', ''), '/+$', '')"
+
+
+def article_key(c: str) -> str:
+    part = "split_part(p, '=', 1)"
+    value = "url_decode(replace(regexp_extract(p, '^[^=]*=(.*)$', 1), '+', ' '))"
+    pairs = f"list_transform(string_split(regexp_extract({c}, {q(PARTS)}, 3), '&'), lambda p: {{'k': {strip(f'lower({part})')}, 'v': {strip(value)}}})"
+    tail = f"array_to_string(list_transform(list_sort(list_filter({pairs}, lambda x: x.k IN {any_of(lx.QUERY_PARAMS)} AND x.v <> '')), lambda x: x.k || '=' || url_encode(x.v)), '&')"
+    return f"({page_key(c)} || CASE WHEN {tail} <> '' THEN '?' || {tail} ELSE '' END)"

@@ -16,7 +16,7 @@ from ..operators import ordered, sampling
 from ..operators import usage as us
 from ..sources import files
 from . import duck as dk
-from .views import ARTICLES_SQL, DOMAINS_SQL, NOW, PRICES_SQL, USAGE_SQL, articles, domains, prices, table, usage
+from .views import ARTICLES_SQL, DELIVERED_SQL, DOMAINS_SQL, NOW, PRICES_SQL, TURNS_SQL, USAGE_SQL, articles, delivered, domains, prices, table, turns, usage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -127,10 +127,9 @@ def url_keys(spark, sf):
     return table(spark, sf, "pages").select("page_id", urls.page_key(u).alias("page_key"), urls.link_key(u).alias("link_key"), urls.host(u).alias("host"))
 
 
-@query(f"SELECT page_id, {dk.page_key('url')} || CASE WHEN regexp_matches(url, '[?&]id=([0-9]+)') THEN '?id=' || regexp_extract(url, '[?&]id=([0-9]+)', 1) ELSE '' END AS article_key FROM (SELECT page_id, split_part(url, '#', 1) || '?id=' || page_id || '&ref=x' AS url FROM pages WHERE NOT contains(url, '?'))")
+@query(f"SELECT page_id, {dk.article_key('url')} AS article_key FROM pages")
 def article_keys(spark, sf):
-    p = table(spark, sf, "pages").where(~F.contains(F.col("url"), F.lit("?"))).withColumn("url", F.concat(F.split_part("url", F.lit("#"), F.lit(1)), F.lit("?id="), F.col("page_id").cast("string"), F.lit("&ref=x")))
-    return p.select("page_id", urls.article_key(F.col("url")).alias("article_key"))
+    return table(spark, sf, "pages").select("page_id", urls.article_key(F.col("url")).alias("article_key"))
 
 
 _BARE = "regexp_replace(split_part(lower(regexp_extract(url, '://([^/?#]*)', 1)), ':', 1), '^www\\.', '')"
@@ -142,11 +141,17 @@ def publishers(spark, sf):
     return ar.publishers(table(spark, sf, "pages").select("page_id", "url"), "url", domains(spark)).select("page_id", "publisher", "unmapped")
 
 
-@query(f"""WITH c AS (SELECT DISTINCT {_BARE} AS domain FROM pages), k AS (SELECT DISTINCT {_BARE} AS domain FROM pages WHERE page_id % 3 = 0 UNION SELECT 'old.example.org')
+_KNOWN = "(SELECT DISTINCT lower(source) || '.example.com' AS domain FROM documents WHERE source IS NOT NULL UNION SELECT 'old.example.org')"
+
+
+def _known(spark, sf) -> DataFrame:
+    return table(spark, sf, "documents").where("source is not null").select(F.concat(F.lower("source"), F.lit(".example.com")).alias("domain")).distinct().union(spark.createDataFrame([("old.example.org",)], "domain string"))
+
+
+@query(f"""WITH c AS (SELECT DISTINCT {_BARE} AS domain FROM pages), k AS {_KNOWN}
  SELECT domain, k.domain IS NULL AS is_new, c.domain IS NOT NULL AS in_current FROM c FULL JOIN k USING (domain) WHERE domain <> ''""")
 def unmapped_domains(spark, sf):
-    d = table(spark, sf, "pages").select("page_id", urls.bare_host(F.col("url")).alias("domain"))
-    return ar.unmapped_domains(d.select("domain"), d.where("page_id % 3 = 0").select("domain").union(spark.createDataFrame([("old.example.org",)], "domain string")))
+    return ar.unmapped_domains(table(spark, sf, "pages").select(urls.bare_host(F.col("url")).alias("domain")), _known(spark, sf))
 
 
 @query(f"SELECT page_id FROM pages QUALIFY row_number() OVER (PARTITION BY {dk.page_key('url')} ORDER BY page_id) = 1 OR {dk.page_key('url')} = ''")
@@ -154,21 +159,20 @@ def first_of_url(spark, sf):
     return ar.first_of_key(table(spark, sf, "pages"), urls.page_key(F.col("url")), "page_id").select("page_id")
 
 
-@query(f"""WITH p AS (SELECT ord, title, url FROM {ARTICLES_SQL} WHERE ord % 4 = 0), k AS (SELECT {dk.page_key("split_part(url, '?', 1)")} AS key, arg_min(title, ord) AS t FROM p GROUP BY 1)
- SELECT a.ord, k.t AS matched_title FROM {ARTICLES_SQL} a LEFT JOIN k ON {dk.page_key('a.url')} = k.key""")
+@query(f"""WITH k AS (SELECT {dk.article_key('url')} AS key, arg_min(substr(html, 1, 40), page_id) AS t FROM pages GROUP BY 1)
+ SELECT p.page_id AS ord, k.t AS matched_title FROM pages p LEFT JOIN k ON k.key <> '' AND {dk.article_key("'http://' || regexp_replace(p.url, '^https?://', '')")} = k.key""")
 def seen_by_url(spark, sf):
-    a = articles(spark, sf)
-    past = a.where("ord % 4 = 0").select("ord", "title", F.array(urls.article_key(F.col("url"))).alias("urls"))
-    return ar.seen_before(a.select("ord", "url"), past).select("ord", "matched_title")
+    p = table(spark, sf, "pages").select(F.col("page_id").alias("ord"), "url", F.substring("html", 1, 40).alias("title"))
+    past = p.select("ord", "title", F.array(urls.article_key(F.col("url"))).alias("urls"))
+    return ar.seen_before(p.select("ord", F.concat(F.lit("http://"), F.regexp_replace("url", "^https?://", "")).alias("url")), past).select("ord", "matched_title")
 
 
-@query(f"""WITH a AS (SELECT ord, section, md5(title) AS id, {dk.page_key('url')} AS u, {dk.normalize_title('title')} AS t FROM {ARTICLES_SQL}), s AS (SELECT * FROM a WHERE ord % 10 = 0),
- n AS (SELECT * FROM a WHERE ord % 10 <> 0), x AS (SELECT id FROM n WHERE EXISTS (SELECT 1 FROM s WHERE s.section = n.section AND (s.u = n.u AND n.u <> '' OR s.t = n.t AND n.t <> '')))
+@query(f"""WITH n AS (SELECT ord, md5(title) AS id, {dk.page_key('url')} AS u, {dk.normalize_title('title')} AS t FROM {ARTICLES_SQL}), s AS (SELECT {dk.page_key('url')} AS u, {dk.normalize_title('title')} AS t FROM {DELIVERED_SQL}),
+ x AS (SELECT id FROM n WHERE u IN (SELECT u FROM s WHERE u <> '') OR t IN (SELECT t FROM s WHERE t <> ''))
  SELECT min(ord) AS ord, id FROM n WHERE id NOT IN (SELECT id FROM x) GROUP BY id""")
 def append_new_events(spark, sf):
-    a = articles(spark, sf).select("ord", "section", F.md5(F.col("title").cast("binary")).alias("id"), F.array(urls.page_key(F.col("url"))).alias("u"), F.array(tx.normalize_title(F.col("title"))).alias("t"))
-    keys = {"url": F.col("u"), "title": F.col("t")}
-    return ar.append_new(a.where("ord % 10 <> 0"), a.where("ord % 10 = 0"), keys, scope="section", ident="id", order="ord").select("ord", "id")
+    keyed = lambda d: d.select("ord", F.lit("all").alias("scope"), F.md5(F.col("title").cast("binary")).alias("id"), F.array(urls.page_key(F.col("url"))).alias("u"), F.array(tx.normalize_title(F.col("title"))).alias("t"))
+    return ar.append_new(keyed(articles(spark, sf)), keyed(delivered(spark, sf)), {"url": F.col("u"), "title": F.col("t")}, scope="scope", ident="id", order="ord").select("ord", "id")
 
 
 @query("""SELECT conv_id, array_to_string(list_transform(list_filter(list_zip(t[1:least(len(t), len(u))], u[1:least(len(t), len(u))]), lambda x: trim(x[1]) <> '' AND x[2] <> '#'), lambda x: x[2]), ' ') AS links FROM
@@ -320,41 +324,52 @@ def ordinals(spark, sf):
     return ar.positions(articles(spark, sf).select("section", "ord", "published"), ["section"], [F.desc("published"), F.asc("ord")]).select("section", "ord", "position")
 
 
-def _payload(spark, sf, make) -> DataFrame:
-    a = articles(spark, sf)
-    return a.withColumn("payload", make(F.col("title"), F.col("body"), urls.page_key(F.col("url"))))
+def _payload(df: DataFrame, make) -> DataFrame:
+    return df.withColumn("payload", make(F.col("title"), F.col("body"), urls.page_key(F.col("url"))))
 
 
 @query()
 def event_clusters(spark, sf):
-    """Sections are languages, as the reference's; a section is one task, which grows with the table."""
-    p = _payload(spark, sf, sim.cluster_payload)
-    return ordered.cluster(p, ["section"], "ord", "published", "payload")
+    """Sections are conversations."""
+    return ordered.cluster(_payload(turns(spark, sf), sim.cluster_payload), ["section"], "ord", "published", "payload")
+
+
+def _history(title, body, _):
+    return sim.history_payload(title, body)
 
 
 @query()
 def past_events(spark, sf):
-    p = _payload(spark, sf, lambda t, b, _: sim.history_payload(t, b))
-    past = p.where("ord % 10 = 0").select("section", F.col("ord").alias("past_ord"), F.col("payload").alias("past_payload"))
-    return ordered.past_match(p.where("ord % 10 <> 0"), past, ident="ord", payload="payload", past_order="past_ord", past_payload="past_payload", by=["section"])
+    """All turns against all delivered items."""
+    p = _payload(turns(spark, sf), _history).withColumn("scope", F.lit("all"))
+    past = _payload(delivered(spark, sf), _history).select(F.lit("all").alias("scope"), F.col("ord").alias("past_ord"), F.col("payload").alias("past_payload"))
+    return ordered.past_match(p, past, ident="ord", payload="payload", past_order="past_ord", past_payload="past_payload", by=["scope"])
 
 
 @query()
 def history_repeats(spark, sf):
-    p = _payload(spark, sf, lambda t, b, _: sim.history_payload(t, b))
-    return ordered.drop_repeats(p, ["section"], "ord", "payload", "history")
+    return ordered.drop_repeats(_payload(turns(spark, sf), _history), ["section"], "ord", "payload", "history")
+
+
+@query()
+def run_repeats(spark, sf):
+    """A conversation is a run, its roles are the sections."""
+    p = _payload(turns(spark, sf), _history).withColumn("url_key", urls.article_key(F.col("url")))
+    return ordered.drop_repeats_of_run(p, ["section"], "source", "ord", "url_key", "payload")
+
+
+def _final(title, body, _):
+    return sim.final_payload(title, body)
 
 
 @query()
 def final_repeats(spark, sf):
-    p = _payload(spark, sf, lambda t, b, _: sim.final_payload(t, b))
-    return ordered.drop_repeats(p, ["section"], "ord", "payload", "final")
+    return ordered.drop_repeats(_payload(turns(spark, sf), _final), ["section"], "ord", "payload", "final")
 
 
 @query()
 def final_selection(spark, sf):
-    p = _payload(spark, sf, lambda t, b, _: sim.final_payload(t, b))
-    return ordered.pick_with_supplement(p, ["section"], "ord", "payload", 10)
+    return ordered.pick_with_supplement(_payload(turns(spark, sf), _final), ["section"], "ord", "payload", 10)
 
 
 @query()
@@ -373,8 +388,8 @@ def group_shortlist(spark, sf):
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Clusters of articles, summarised, scored and ranked in each section."""
-    p = _payload(spark, sf, sim.cluster_payload)
-    found = ordered.cluster(p, ["section"], "ord", "published", "payload").select("ord", "group_id", "method")
-    members = articles(spark, sf).join(found, "ord").withColumn("tokens", tx.cluster_tokens(F.concat_ws(" ", "title", "body")))
+    t = turns(spark, sf)
+    found = ordered.cluster(_payload(t, sim.cluster_payload), ["section"], "ord", "published", "payload").select("ord", "group_id", "method")
+    members = t.join(found, "ord").withColumn("tokens", tx.cluster_tokens(F.concat_ws(" ", "title", "body")))
     s = gr.summarise(members, ["section"], order="ord", title="title", body="body", url="url", source="source", keyword="keyword", published="published", tokens="tokens")
     return gr.top_groups(s, ["section"], 10).select("section", "place", "group_id", "article_count", "source_count", "rep_title", "priority")

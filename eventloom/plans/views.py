@@ -13,12 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as articles: the first 60 characters are the title, the next 160 the description."""
+    """Documents as articles: the first 60 characters are the title, all others the body."""
     d = table(spark, sf_dir, "documents")
     return d.select(
         F.col("doc_id").alias("ord"),
         F.substring("text", 1, 60).alias("title"),
-        F.substring("text", 61, 160).alias("body"),
+        F.expr("substring(text, 61)").alias("body"),
         "source",
         F.col("lang").alias("keyword"),
         F.col("lang").alias("section"),
@@ -27,9 +27,36 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-ARTICLES_SQL = """(SELECT doc_id AS ord, substr(text, 1, 60) AS title, substr(text, 61, 160) AS body, source, lang AS keyword, lang AS section,
+ARTICLES_SQL = """(SELECT doc_id AS ord, substr(text, 1, 60) AS title, substr(text, 61) AS body, source, lang AS keyword, lang AS section,
  TIMESTAMP '2024-01-31 00:00:00' - to_minutes(CAST(doc_id % 1440 AS INTEGER)) AS published, 'https://' || source || '.example.com/a/' || doc_id AS url FROM documents)"""
 
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as articles; a conversation is a section, so sections are bounded, and the role a source."""
+    ident = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    return table(spark, sf_dir, "conversations").select(
+        (F.col("conv_id") * 100_000 + F.col("turn")).alias("ord"),
+        F.substring("text", 1, 60).alias("title"),
+        F.expr("substring(text, 61)").alias("body"),
+        F.col("role").alias("source"),
+        F.col("role").alias("keyword"),
+        F.col("conv_id").cast("string").alias("section"),
+        (F.lit(NOW).cast("timestamp_ntz") - F.make_dt_interval(F.lit(0), F.lit(0), F.col("turn").cast("int"))).alias("published"),
+        F.concat(F.lit("https://"), "role", F.lit(".example.com/c/"), ident).alias("url"),
+    )
+
+
+TURNS_SQL = """(SELECT conv_id * 100000 + turn AS ord, substr(text, 1, 60) AS title, substr(text, 61) AS body, role AS source, role AS keyword, CAST(conv_id AS VARCHAR) AS section,
+ TIMESTAMP '2024-01-31 00:00:00' - to_minutes(CAST(turn AS INTEGER)) AS published, 'https://' || role || '.example.com/c/' || conv_id || '/' || turn AS url FROM conversations)"""
+
+
+def delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as delivered events, in their order."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("ord"), F.substring("text", 1, 60).alias("title"), F.expr("substring(text, 61)").alias("body"), F.concat(F.lit("https://x.example.com/b/"), F.col("item_id").cast("string")).alias("url"))
+
+
+DELIVERED_SQL = "(SELECT item_id AS ord, substr(text, 1, 60) AS title, substr(text, 61) AS body, 'https://x.example.com/b/' || item_id AS url FROM benchmark)"
+
 PRICES = [("m-large", 5.0, 0.5, 15.0), ("m-small-2024-01-31", 0.25, 0.025, 2.0), ("m-small", 0.2, 0.02, 1.6)]
 
 

@@ -2,16 +2,19 @@
 
 import datetime as dt
 import os
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from eventloom.functions import similarity as sim
 from eventloom.operators import articles as ar
 from eventloom.operators import groups as gr
 from eventloom.operators import ordered, sampling
 from eventloom.operators import usage as us
+from eventloom.plans import queries, views
 from eventloom.plans.queries import QUERIES, SQL
 from eventloom.sources import files
 from eventloom.streaming import micro
@@ -147,16 +150,51 @@ def test_stream_counts(spark, tmp_path):
     assert sorted(r["n"] for r in spark.table("windows").collect()) == [1, 2]
 
 
-def test_repeats_are_found_across_hours_and_sources(spark, tmp_path):
-    """Copies of a text in another hour and of another source are repeats; another language is another section."""
+def test_repeats_are_found_in_a_section(spark, tmp_path):
+    """Copies of a text by another source are repeats; another conversation is another section, but not another history."""
     text = "Harbour bridge opens after nine years of repairs in the old northern port of the island " * 4
     other = "Quiet museum garden wins award for rare alpine flowers " * 6
-    docs = [(1, text, "en", "src1"), (62, text, "en", "src2"), (133, other, "en", "src1"), (204, text, "de", "src1"), (330, text, "en", "src3")]
-    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {name: QUERIES[name](spark, str(tmp_path)) for name in ("history_repeats", "final_repeats")}
-    for df in got.values():
-        assert {r["ord"]: r["duplicate_of"] for r in df.collect()} == {1: None, 62: 1, 133: None, 204: None, 330: 1}
+    turns = [(1, 0, "user", text), (1, 1, "assistant", text), (1, 2, "user", other), (2, 0, "user", text), (2, 1, "user", None)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(7, "Nothing like it at all"), (8, text), (9, text)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    a, b, c, d, e = 100_000, 100_001, 100_002, 200_000, 200_001
+    for name in ("history_repeats", "final_repeats"):
+        assert {r["ord"]: r["duplicate_of"] for r in QUERIES[name](spark, str(tmp_path)).collect()} == {a: None, b: a, c: None, d: None, e: None}
+    # Sections of a run go by name: the assistant's turn is first.
+    assert {r["ord"]: r["duplicate_of"] for r in QUERIES["run_repeats"](spark, str(tmp_path)).collect()} == {b: None, a: b, c: None, d: None, e: None}
     groups = {r["ord"]: (r["section"], r["group_id"]) for r in QUERIES["event_clusters"](spark, str(tmp_path)).collect()}
-    assert groups[1] == groups[62] == groups[330] and len(set(groups.values())) == 3
-    assert {r["ord"] for r in QUERIES["final_selection"](spark, str(tmp_path)).collect()} == {1, 133, 204}
-    assert {r["ord"]: r["matched_order"] for r in QUERIES["past_events"](spark, str(tmp_path)).collect()} == {1: 330, 62: 330}
+    assert groups[a] == groups[b] and len(set(groups.values())) == 4
+    assert {r["ord"] for r in QUERIES["final_selection"](spark, str(tmp_path)).collect()} == {a, c, d, e}
+    assert {r["ord"]: r["matched_order"] for r in QUERIES["past_events"](spark, str(tmp_path)).collect()} == {a: 8, b: 8, d: 8}
+
+
+def plain_cluster(payloads):
+    """The clustering pass without Spark: rows in order, each with the best of its groups' first five members."""
+    groups, out = [], []
+    for p in payloads:
+        verdicts = [(v[2], -g, v[1]) for g, m in enumerate(groups) for q in m[:5] if (v := sim.judge_cluster(p, q))[0]]
+        if verdicts:
+            score, g, _ = max(verdicts, key=lambda x: (x[0], x[1]))
+            groups[-g].append(p)
+            out.append((f"G{1 - g:03d}", score))
+        else:
+            groups.append([p])
+            out.append((f"G{len(groups):03d}", 1.0))
+    return out
+
+
+def test_clusters_are_the_plain_pass(spark, tmp_path):
+    r = random.Random(3)
+    vocabulary = ["harbour", "bridge", "museum", "garden", "rain", "market", "school", "train", "forest", "engine", "light", "river"]
+    turns = []
+    for i in range(60):
+        w = [r.choice(vocabulary) for _ in range(r.randint(3, 40))]
+        for k in range(r.randint(1, 2)):
+            turns.append((i % 3, len(turns), "user", " ".join(w)))
+            w[r.randrange(len(w))] = r.choice(vocabulary)
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    p = queries._payload(views.turns(spark, str(tmp_path)), sim.cluster_payload).collect()
+    got = {x["ord"]: (x["group_id"], x["score"]) for x in QUERIES["event_clusters"](spark, str(tmp_path)).collect()}
+    for section in {x["section"] for x in p}:
+        own = sorted((x for x in p if x["section"] == section), key=lambda x: (-x["published"].timestamp(), x["ord"]))
+        assert [got[x["ord"]] for x in own] == plain_cluster([x["payload"].asDict() for x in own])

@@ -7,6 +7,8 @@ guarded by their upper bounds, in one Arrow call for a batch of pairs.
 
 from __future__ import annotations
 
+import os
+from collections import Counter
 from collections.abc import Callable
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -19,6 +21,7 @@ from pyspark.sql import types as T
 from ..config import ClusterThresholds, HistoryThresholds
 from . import lexicon as lx
 from . import text as tx
+from .plain import action_name, strip_particle
 
 VERDICT = "struct<duplicate:boolean,method:string,score:double>"
 
@@ -51,14 +54,26 @@ def overlap(a: Column, b: Column) -> Column:
     return F.when(small > 0, common(a, b) / small).otherwise(0.0)
 
 
+@lru_cache(1 << 14)
+def _counts(t: str) -> dict[str, int]:
+    return Counter(t)
+
+
 def ratio(a: str, b: str, least: float = 0.0) -> float:
     """Sequence similarity; where it can't reach ``least``, 0 without the full comparison."""
     if not a or not b:
         return 0.0
-    m = SequenceMatcher(None, a, b)
-    if least and (m.real_quick_ratio() < least or m.quick_ratio() < least):
-        return 0.0
-    return m.ratio()
+    n = len(a) + len(b)
+    if least:
+        if 2 * min(len(a), len(b)) / n < least:
+            return 0.0
+        ca, cb = _counts(a), _counts(b)
+        if 2 * sum(min(k, cb.get(x, 0)) for x, k in ca.items()) / n < least:
+            return 0.0
+        # In a long second text the matcher starts only at its rare characters, and at both beginnings.
+        if len(b) >= 200 and not any(k <= len(b) // 100 + 1 and x in ca for x, k in cb.items()):
+            return 2 * len(os.path.commonprefix((a, b))) / n
+    return SequenceMatcher(None, a, b).ratio()
 
 
 @F.pandas_udf(T.DoubleType())
@@ -67,42 +82,57 @@ def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 @lru_cache(1 << 16)
-def strip_particle(token: str) -> str:
-    t = (token or "").lower().strip()
-    for k, v in lx.HANJA.items():
-        t = t.replace(k, v)
-    return next((t[: -len(p)] for p in lx.PARTICLES if len(t) > len(p) + 1 and t.endswith(p)), t)
-
-
-@lru_cache(1 << 16)
-def action_name(token: str) -> str:
-    t = strip_particle(token)
-    if not t:
-        return ""
-    return next((v for k, v in lx.ACTION_ALIASES.items() if k in t), t if t in lx.ACTIONS else "")
+def _pairs_of(token: str) -> frozenset[str]:
+    return frozenset(token[i : i + 2] for i in range(len(token) - 1))
 
 
-@lru_cache(1 << 18)
 def related(a: str, b: str) -> bool:
     """Equal, one (3 letters or more) inside the other, or 4 letters and a ratio of 0.82."""
     a, b = strip_particle(a), strip_particle(b)
     if not a or not b:
         return False
-    short, long = sorted((a, b), key=len)
-    return a == b or (len(short) >= 3 and short in long) or (len(short) >= 4 and ratio(a, b, 0.82) >= 0.82)
+    if a == b:
+        return True
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    if len(short) >= 3 and short in long:
+        return True
+    # A ratio of 0.82 of tokens of 4 letters leaves too few gaps for matches of single letters alone.
+    return len(short) >= 4 and 2 * len(short) >= 0.82 * (len(a) + len(b)) and not _pairs_of(a).isdisjoint(_pairs_of(b)) and _close(a, b)
+
+
+@lru_cache(1 << 18)
+def _close(a: str, b: str) -> bool:
+    return ratio(a, b, 0.82) >= 0.82
+
+
+@lru_cache(1 << 14)
+def _usable(tokens: tuple[str, ...]) -> tuple[str, ...]:
+    out = [strip_particle(t) for t in tokens]
+    return tuple(t for t in out if t and not (t in lx.ANCHOR_STOPWORDS and not action_name(t)))
+
+
+@lru_cache(1 << 12)
+def _by_pairs(tokens: tuple[str, ...]) -> dict[str, list[int]]:
+    """Places of the tokens by the letter pairs of the forms in which they are compared; related tokens of two letters or more share one."""
+    out: dict[str, list[int]] = {}
+    for i, t in enumerate(tokens):
+        form = strip_particle(t)
+        for x in _pairs_of(form) or (form,):
+            out.setdefault(x, []).append(i)
+    return out
 
 
 def soft_common(left: list[str], right: list[str]) -> list[str]:
     """Greedy matching from the left; each right token once; the shorter of two related ones is kept."""
-    def usable(tokens: list[str]) -> list[str]:
-        out = [strip_particle(t) for t in tokens]
-        return [t for t in out if t and not (t in lx.ANCHOR_STOPWORDS and not action_name(t))]
-
-    out, free = [], list(usable(right))
-    for a in usable(left):
-        b = next((x for x in free if related(a, x)), None)
-        if b is not None:
-            free.remove(b)
+    free = _usable(tuple(right))
+    index, used, out = _by_pairs(free), set(), []
+    for a in _usable(tuple(left)):
+        form = strip_particle(a)
+        near = sorted({i for x in _pairs_of(form) or (form,) for i in index.get(x, ())})
+        at = next((i for i in near if i not in used and related(a, free[i])), None)
+        if at is not None:
+            used.add(at)
+            b = free[at]
             out.append(a if len(a) <= len(b) else b)
     return list(dict.fromkeys(out))
 
@@ -195,10 +225,12 @@ def judge_history(c: dict, p: dict, t: HistoryThresholds = HistoryThresholds())
     ):
         if holds:
             return True, name, score
-    hard, soft = hard_overlap(wa, wb), soft_overlap(wa, wb)
-    o, n = max(hard[0], soft[0]), max(hard[1], soft[1])
     body = ratio(c["body_key"], p["body_key"], 0.76)
     d = distance(c["fingerprint"], p["fingerprint"])
+    if strong < 2 and body < t.text:
+        return NO
+    hard, soft = hard_overlap(wa, wb), soft_overlap(wa, wb)
+    o, n = max(hard[0], soft[0]), max(hard[1], soft[1])
     for name, holds, score in (
         ("text_similarity", body >= t.text and n >= t.common and strong >= 1, body),
         ("text_similarity_anchor", body >= 0.76 and n >= 5 and strong >= 2, body),
@@ -289,19 +321,7 @@ def cluster_payload(title: Column, body: Column, url_key: Column) -> Column:
     return F.struct(url_key.alias("url_key"), tx.normalize_title(title).alias("title_key"), tx.compact(both).alias("body_key"), tx.cluster_tokens(title, 30).alias("title_tokens"), tx.cluster_tokens(both).alias("tokens"), simhash(tx.cluster_tokens(both)).alias("fingerprint"))
 
 
-def history_payload(title: Column, body: Column, alias_titles: Column | None = None) -> Column:
-    """With alias titles these lengthen the text and the title tokens (60 of them, 80 in all), and are compared as titles (16)."""
-    if alias_titles is not None:
-        raw = tx.unique(F.concat(F.array(title), alias_titles), 16)
-        text = F.array_join(tx.unique(F.concat(F.array(title, body), raw)), " ")
-        plain = history_payload(title, text)
-        tokens = lambda x: tx.unique(F.concat(x["title_tokens"], tx.history_tokens(F.array_join(raw, " "), 60)), 80)
-
-        def widen(x: Column) -> Column:
-            every = F.concat(x["tt"], x["p"]["tokens"])
-            return tx.let(F.struct(x.alias("x"), tx.history_anchors(every).alias("anchors"), tx.actions(every).alias("acts")), lambda y: F.struct(tx.unique(F.transform(raw, tx.normalize_title), 16).alias("titles"), y["x"]["p"]["body_key"].alias("body_key"), y["x"]["tt"].alias("title_tokens"), y["x"]["p"]["tokens"].alias("tokens"), tx.strong_anchors(y["anchors"]).alias("strong"), y["x"]["p"]["numbers"].alias("numbers"), y["acts"].alias("actions"), y["x"]["p"]["fingerprint"].alias("fingerprint"), tx.event_key(y["anchors"], y["acts"], y["x"]["p"]["numbers"]).alias("event_key")))
-
-        return tx.let(plain, lambda x: tx.let(F.struct(x.alias("p"), tokens(x).alias("tt")), widen))
+def history_payload(title: Column, body: Column) -> Column:
     both = F.concat_ws(" ", title, body)
 
     def build(x: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import dates, urls
+from ..functions import dates, plain, urls
 from ..functions import similarity as sim
 from ..functions import text as tx
 from ..operators import articles as ar
@@ -324,52 +324,44 @@ def ordinals(spark, sf):
     return ar.positions(articles(spark, sf).select("section", "ord", "published"), ["section"], [F.desc("published"), F.asc("ord")]).select("section", "ord", "position")
 
 
-def _payload(df: DataFrame, make) -> DataFrame:
-    return df.withColumn("payload", make(F.col("title"), F.col("body"), urls.page_key(F.col("url"))))
+def _payload(df: DataFrame, kind: str) -> DataFrame:
+    return df.withColumn("payload", plain.payload(kind, F.col("title"), F.col("body"), *([urls.page_key(F.col("url"))] if kind == "cluster" else [])))
 
 
 @query()
 def event_clusters(spark, sf):
     """Sections are conversations."""
-    return ordered.cluster(_payload(turns(spark, sf), sim.cluster_payload), ["section"], "ord", "published", "payload")
-
-
-def _history(title, body, _):
-    return sim.history_payload(title, body)
+    return ordered.cluster(_payload(turns(spark, sf), "cluster"), ["section"], "ord", "published", "payload")
 
 
 @query()
 def past_events(spark, sf):
     """All turns against all delivered items."""
-    p = _payload(turns(spark, sf), _history).withColumn("scope", F.lit("all"))
-    past = _payload(delivered(spark, sf), _history).select(F.lit("all").alias("scope"), F.col("ord").alias("past_ord"), F.col("payload").alias("past_payload"))
+    p = _payload(turns(spark, sf), "history").withColumn("scope", F.lit("all"))
+    past = _payload(delivered(spark, sf), "history").select(F.lit("all").alias("scope"), F.col("ord").alias("past_ord"), F.col("payload").alias("past_payload"))
     return ordered.past_match(p, past, ident="ord", payload="payload", past_order="past_ord", past_payload="past_payload", by=["scope"])
 
 
 @query()
 def history_repeats(spark, sf):
-    return ordered.drop_repeats(_payload(turns(spark, sf), _history), ["section"], "ord", "payload", "history")
+    return ordered.drop_repeats(_payload(turns(spark, sf), "history"), ["section"], "ord", "payload", "history")
 
 
 @query()
 def run_repeats(spark, sf):
     """A conversation is a run, its roles are the sections."""
-    p = _payload(turns(spark, sf), _history).withColumn("url_key", urls.article_key(F.col("url")))
+    p = _payload(turns(spark, sf), "history").withColumn("url_key", urls.article_key(F.col("url")))
     return ordered.drop_repeats_of_run(p, ["section"], "source", "ord", "url_key", "payload")
 
 
-def _final(title, body, _):
-    return sim.final_payload(title, body)
-
-
 @query()
 def final_repeats(spark, sf):
-    return ordered.drop_repeats(_payload(turns(spark, sf), _final), ["section"], "ord", "payload", "final")
+    return ordered.drop_repeats(_payload(turns(spark, sf), "final"), ["section"], "ord", "payload", "final")
 
 
 @query()
 def final_selection(spark, sf):
-    return ordered.pick_with_supplement(_payload(turns(spark, sf), _final), ["section"], "ord", "payload", 10)
+    return ordered.pick_with_supplement(_payload(turns(spark, sf), "final"), ["section"], "ord", "payload", 10)
 
 
 @query()
@@ -389,7 +381,7 @@ def group_shortlist(spark, sf):
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Clusters of articles, summarised, scored and ranked in each section."""
     t = turns(spark, sf)
-    found = ordered.cluster(_payload(t, sim.cluster_payload), ["section"], "ord", "published", "payload").select("ord", "group_id", "method")
+    found = ordered.cluster(_payload(t, "cluster"), ["section"], "ord", "published", "payload").select("ord", "group_id", "method")
     members = t.join(found, "ord").withColumn("tokens", tx.cluster_tokens(F.concat_ws(" ", "title", "body")))
     s = gr.summarise(members, ["section"], order="ord", title="title", body="body", url="url", source="source", keyword="keyword", published="published", tokens="tokens")
     return gr.top_groups(s, ["section"], 10).select("section", "place", "group_id", "article_count", "source_count", "rep_title", "priority")

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from eventloom.functions import plain
 from eventloom.functions import similarity as sim
 from eventloom.operators import articles as ar
 from eventloom.operators import groups as gr
@@ -193,8 +194,57 @@ def test_clusters_are_the_plain_pass(spark, tmp_path):
             turns.append((i % 3, len(turns), "user", " ".join(w)))
             w[r.randrange(len(w))] = r.choice(vocabulary)
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
-    p = queries._payload(views.turns(spark, str(tmp_path)), sim.cluster_payload).collect()
+    p = queries._payload(views.turns(spark, str(tmp_path)), "cluster").collect()
     got = {x["ord"]: (x["group_id"], x["score"]) for x in QUERIES["event_clusters"](spark, str(tmp_path)).collect()}
     for section in {x["section"] for x in p}:
         own = sorted((x for x in p if x["section"] == section), key=lambda x: (-x["published"].timestamp(), x["ord"]))
         assert [got[x["ord"]] for x in own] == plain_cluster([x["payload"].asDict() for x in own])
+
+
+KOREAN = ["[속보] 삼성전자, AI·클라우드 협력 계약 체결(종합) 2.5%", "<b>오픈AI</b>와 SK C&C, 3월 15일 공급 계약을 &amp; 발표…", "경기도의 풍수해대책 2026년 5월 7일 점검, 美·中 정상회담으로부터", "은는 이가 12 345 기자 뉴스 시장에서는", "", None, "롯데 홈쇼핑 영업이익 실적이 3.5% 증가했다 (사진)", "Ｆｕｌｌ width\u00a0spaces\u3000and　İ mixed"]
+
+
+def test_payloads_are_those_of_the_column_rules(spark):
+    df = spark.createDataFrame([(a, b) for a in KOREAN for b in KOREAN], "title string, body string").unionByName(views.turns(spark, SF).select("title", "body").limit(40))
+    args = (F.col("title"), F.col("body"))
+    for kind, column in (("cluster", sim.cluster_payload(*args, F.lit("k"))), ("history", sim.history_payload(*args)), ("final", sim.final_payload(*args))):
+        got = df.select(plain.payload(kind, *args, *([F.lit("k")] if kind == "cluster" else [])).alias("a"), column.alias("b")).collect()
+        for r in got:
+            assert r["a"].asDict() == r["b"].asDict()
+
+
+def test_alias_titles_reach_the_judge():
+    a = plain.history_payload("Museum opens a new wing", "In the old town", ["Harbour bridge is closed for repairs", " "])
+    b = plain.history_payload("Harbour bridge is closed for repairs", "Nothing else")
+    assert sim.judge_history(a, b)[:2] == (True, "event_key") or sim.judge_history(a, b)[1] == "title_exact"
+    assert sim.judge_history(plain.history_payload("Museum opens a new wing", "In the old town"), b) == sim.NO
+    assert len(plain.history_payload("t", "b", [f"alias title number {i}" for i in range(40)])["titles"]) == 16
+
+
+def test_bounded_ratio_and_soft_matches_are_the_plain_ones():
+    from difflib import SequenceMatcher
+
+    r = random.Random(6)
+    word = lambda n: "".join(r.choice("aabbccdeé") for _ in range(n))
+    for _ in range(400):
+        a = word(r.randint(1, 320))
+        b = r.choice([word(r.randint(1, 320)), a[: r.randint(0, 300)] + word(r.randint(1, 40)), "xyz" + a])
+        exact = SequenceMatcher(None, a, b).ratio()
+        for least in (0.0, 0.7, 0.82):
+            assert sim.ratio(a, b, least) == exact or exact < least and sim.ratio(a, b, least) < least
+    token = lambda: r.choice(["ab", "abc", "abca", "bbca", "cabca", "abcab", "ccccc", "aabbc", "a", ""])
+
+    def plain_related(a, b):
+        a, b = plain.strip_particle(a), plain.strip_particle(b)
+        short, long = sorted((a, b), key=len)
+        return bool(a and b) and (a == b or (len(short) >= 3 and short in long) or (len(short) >= 4 and SequenceMatcher(None, a, b).ratio() >= 0.82))
+
+    for _ in range(400):
+        left, right = ([token() for _ in range(r.randint(0, 6))] for _ in range(2))
+        free, out = [t for t in right if t], []
+        for a in filter(None, left):
+            b = next((x for x in free if plain_related(a, x)), None)
+            if b is not None:
+                free.remove(b)
+                out.append(a if len(a) <= len(b) else b)
+        assert sim.soft_common(left, right) == list(dict.fromkeys(out))

@@ -38,3 +38,14 @@ def korean_date(ts: Column) -> Column:
     half = F.when(F.hour(ts) < 12, "오전").otherwise("오후")
     hour = F.when(F.hour(ts) % 12 == 0, 12).otherwise(F.hour(ts) % 12)
     return F.concat(F.date_format(ts, "yyyy년 MM월 dd일"), F.lit(" ("), day, F.lit(") "), half, F.lit(" "), hour.cast("string"), F.lit(":"), F.date_format(ts, "mm"))
+
+
+def best_date(published: Column, iso: Column, mail: Column) -> Column:
+    """A1: the parsed time, else the ISO text's, else the mail date's."""
+    return F.coalesce(published, parse_iso(iso), parse_mail_date(mail))
+
+
+def range_text(latest: Column, oldest: Column) -> Column:
+    """G5."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm")
+    return F.when(latest.isNull() | oldest.isNull(), "발행일 범위 확인 불가").otherwise(F.concat(F.lit("최근 "), day(latest), F.lit(" / 가장 오래됨 "), day(oldest)))

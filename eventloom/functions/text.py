@@ -203,6 +203,12 @@ def escape_html(c: Column) -> Column:
     return _replace(F.coalesce(c, F.lit("")), (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")))
 
 
+def escape_url(c: Column) -> Column:
+    """A link that can stand in an attribute; # without one."""
+    t = strip(c)
+    return F.when(t == "", "#").otherwise(escape_html(t))
+
+
 def model_base(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), r"-[0-9]{4}-[0-9]{2}-[0-9]{2}$", "")
 

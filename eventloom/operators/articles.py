@@ -55,6 +55,11 @@ def unmapped_domains(current: DataFrame, known: DataFrame) -> DataFrame:
     return both.where("domain <> ''").groupBy("domain").agg((F.max("old") == 0).alias("is_new"), (F.max("now") == 1).alias("in_current"))
 
 
+def domain_counts(domains: DataFrame) -> DataFrame:
+    """Of unmapped_domains' rows, all, those of this run, and the new ones."""
+    return domains.agg(F.count(F.lit(1)).alias("total"), F.count_if("in_current").alias("in_run"), F.count_if(F.col("is_new")).alias("added"))
+
+
 def seen_before(candidates: DataFrame, past: DataFrame, *, url: str = "url", past_urls: str = "urls", past_title: str = "title", past_ord: str = "ord") -> DataFrame:
     """Candidates with the title of the first past row that has their url among its own; null where none has."""
     probes = past.select(F.explode(past_urls).alias("__key"), F.struct(past_ord, past_title).alias("s")).where("__key <> ''").groupBy("__key").agg(F.min("s").alias("s"))

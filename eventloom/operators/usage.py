@@ -17,14 +17,24 @@ def cost(prompt: Column, cached: Column, completion: Column, p_in: Column, p_cac
     return (prompt - cached) / 1e6 * p_in + cached / 1e6 * p_cached + F.coalesce(completion, F.lit(0)) / 1e6 * p_out
 
 
-def priced(events: DataFrame, prices: DataFrame) -> DataFrame:
-    """A model's own price, else that of its base name, else the default's, else 0."""
+def priced(events: DataFrame, prices: DataFrame, *, overrides: DataFrame | None = None, default: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
+    """Each price from the overrides of the model, else of its base name, else from the table for the model, the base name, else the default.
+
+    Overrides have the same columns as prices, and may lack some of a model's.
+    """
     cols = ("input_price", "cached_price", "output_price")
-    own = prices.select("model", F.struct(*cols).alias("own"))
-    base = prices.select(F.col("model").alias("base_model"), F.struct(*cols).alias("base"))
-    default = F.struct(*(F.lit(0.0).alias(c) for c in cols))
-    out = events.withColumn("base_model", tx.model_base(F.col("model"))).join(own, "model", "left").join(base, "base_model", "left")
-    return out.withColumn("__p", F.coalesce("own", "base", default)).select(*events.columns, *(F.col(f"__p.{c}") for c in cols))
+    out = events.withColumn("base_model", tx.model_base(F.col("model")))
+    levels = []
+    for name, prices_of in (("over", overrides), ("table", prices)):
+        if prices_of is not None:
+            for key in ("model", "base_model"):
+                own = prices_of.select(F.col("model").alias(key), F.struct(*cols).alias(f"__{name}_{key}"))
+                out = out.join(own, key, "left")
+                levels.append(f"__{name}_{key}")
+    # The table's row of the model, not single prices of it, goes before that of the base name.
+    table = F.coalesce("__table_model", "__table_base_model", F.struct(*(F.lit(float(v)).alias(c) for c, v in zip(cols, default))))
+    price = lambda c: F.coalesce(*(F.col(x)[c] for x in levels if x.startswith("__over")), table[c])
+    return out.select(*events.columns, *(price(c).alias(c) for c in cols))
 
 
 def totals(events: DataFrame) -> DataFrame:

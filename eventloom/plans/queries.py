@@ -385,3 +385,7 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     members = t.join(found, "ord").withColumn("tokens", tx.cluster_tokens(F.concat_ws(" ", "title", "body")))
     s = gr.summarise(members, ["section"], order="ord", title="title", body="body", url="url", source="source", keyword="keyword", published="published", tokens="tokens")
     return gr.top_groups(s, ["section"], 10).select("section", "place", "group_id", "article_count", "source_count", "rep_title", "priority")
+
+
+# The rest of the catalogue uses what is defined above.
+from . import records  # noqa: E402, F401

@@ -53,10 +53,102 @@ def resolved(section: Column, config: Column, default) -> Column:
 
 def load_history(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The stored events; an absent path is an empty history, a broken record is left out."""
+    return _history(spark, path, schema).where("__broken is null").drop("__broken")
+
+
+def _history(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    at, fs = _path(spark, path)
+    every = T.StructType([*schema.fields, T.StructField("__broken", T.StringType())])
+    if not fs.exists(at):
+        return spark.createDataFrame([], every)
+    return spark.read.schema(every).option("columnNameOfCorruptRecord", "__broken").json(path)
+
+
+def broken_history(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The lines that load_history leaves out."""
+    return _history(spark, path, schema).where("__broken is not null").select("__broken")
+
+
+def _path(spark: SparkSession, path: str):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def rewrite_history(df: DataFrame, path: str, day: str = "saved_date") -> None:
+    """K2: the whole history anew: written beside the old one, which it then replaces by renames; a failed write leaves the old one."""
+    spark = df.sparkSession
+    new, old = f"{path.rstrip('/')}.new", f"{path.rstrip('/')}.old"
+    df.repartition(day).write.mode("overwrite").partitionBy(day).json(new)
+    (at, fs), (fresh, _), (spare, _) = (_path(spark, x) for x in (path, new, old))
+    fs.delete(spare, True)
+    if fs.exists(at):
+        fs.rename(at, spare)
+    if not fs.rename(fresh, at):
+        raise OSError(f"{new} could not be renamed")
+    fs.delete(spare, True)
+
+
+STATE = "updated_at string, total_count int, current_run_count int, new_count int, domains array<string>"
+
+
+def stored_domains(spark: SparkSession, path: str) -> DataFrame:
+    """The domains of the state files under a path; none if there is no file or it can't be read."""
+    at, fs = _path(spark, path)
+    raw = spark.read.schema(STATE).option("multiLine", True).json(path) if fs.exists(at) else spark.createDataFrame([], STATE)
+    return raw.select(F.explode("domains").alias("domain")).where(tx.strip(F.col("domain")) != "").distinct()
+
+
+def publisher_table(spark: SparkSession, path: str) -> DataFrame:
+    """(domain, name, ord) from CSV lines domain,name; their order in the file is that of the lookup, so it is one file."""
+    raw = spark.read.schema("domain string, name string").option("multiLine", True).csv(path).coalesce(1)
+    return raw.select("domain", "name", F.monotonically_increasing_id().cast("int").alias("ord"))
+
+
+def page_time(name: Column, modified: Column) -> Column:
+    """The time in a page's name, else when the file was changed."""
+    return F.coalesce(F.try_to_timestamp(F.regexp_extract(name, r"^([0-9]{4}-[0-9]{2}-[0-9]{2}-[0-9]{6})\.html$", 1), F.lit("yyyy-MM-dd-HHmmss")).cast("timestamp_ntz"), modified)
+
+
+def expired_pages(files: DataFrame, name: str, modified: str, now: Column, keep_days: int) -> DataFrame:
+    """K8: pages older than the days that they are kept, one at least; other files stay."""
+    at = page_time(F.col(name), F.col(modified))
+    return files.where(F.col(name).endswith(".html") & (at < now - F.expr(f"INTERVAL {max(keep_days, 1)} DAYS")))
+
+
+def pages_url(configured: Column, given: Column, repository: Column) -> Column:
+    """L4: the configured address, else the given one, else that of owner/name; the empty text without any."""
+    bare = lambda c: F.regexp_replace(tx.strip(c), "/+$", "")
+    owner, name = (tx.strip(F.regexp_extract(F.coalesce(repository, F.lit("")), "^([^/]*)/(.*)$", i)) for i in (1, 2))
+    hosted = F.when((owner != "") & (name != ""), bare(F.concat(F.lit("https://"), owner, F.lit(".github.io/"), name)))
+    return F.coalesce(F.nullif(bare(configured), F.lit("")), F.nullif(bare(given), F.lit("")), hosted, F.lit(""))
+
+
+def state_paths(slug: str, root: str = "data/state") -> dict[str, str]:
+    """P20: where a configuration's state lies; nothing is created."""
+    return {"history": f"{root}/{slug}/history", "domains": f"{root}/{slug}/domains"}
+
+
+def word_list(c: Column) -> Column:
+    """Comma-separated words as a list without blanks."""
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), tx.strip), lambda x: x != "")
+
+
+def sorts(values: Column, default: tuple[str, ...] = ("sim",)) -> Column:
+    """A list of sorts without blanks, else the default."""
+    kept = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), tx.strip), lambda x: x != "")
+    return F.when(F.size(kept) > 0, kept).otherwise(F.array(*map(F.lit, default)))
+
+
+def merged(left: Column, right: Column) -> Column:
+    """Both maps' counters; the right one's go before."""
+    keep = F.map_filter(left, lambda k, _: ~F.map_contains_key(right, k))
+    return F.map_concat(keep, right)
+
+
+def json_list(reply: Column, schema: str) -> Column:
+    """The list in a model's reply; null if it can't be read."""
+    inner = F.regexp_extract(F.regexp_replace(reply, "```(?:json)?", ""), r"(?s)(\[.*\])", 1)
+    return F.from_json(F.nullif(inner, F.lit("")), f"array<{schema}>")
 
 
 def append_history(df: DataFrame, path: str, day: str = "saved_date") -> None:
@@ -93,7 +185,15 @@ def related_cards(df: DataFrame, by: list[str], order: str, title: str, url: str
     """An HTML list for each group, in order; numbered before rows without a link are left out."""
     items = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(order, F.col(title).alias("t"), F.col(url).alias("u"), F.col(source).alias("s")))).alias("items"))
     row = lambda x, i: F.when((tx.strip(x["u"]) != "") & (x["u"] != "#"), F.concat(F.lit('<li id="news-'), (i + 1).cast("string"), F.lit('"><a href="'), tx.escape_html(x["u"]), F.lit('">'), tx.escape_html(x["t"]), F.lit("</a> "), tx.escape_html(x["s"]), F.lit("</li>")))
-    return items.select(*by, F.concat(F.lit("<ul>"), F.array_join(F.array_compact(F.transform("items", row)), ""), F.lit("</ul>")).alias("html"))
+    # A group without any link has no page.
+    return items.where(F.exists("items", lambda x: (tx.strip(x["u"]) != "") & (x["u"] != "#"))).select(*by, F.concat(F.lit("<ul>"), F.array_join(F.array_compact(F.transform("items", row)), ""), F.lit("</ul>")).alias("html"))
+
+
+def section_mail(cards: DataFrame, section: str, html: str, subject: str) -> DataFrame:
+    """K6: one HTML mail of all sections, in their order."""
+    body = F.array_sort(F.collect_list(F.struct(F.col(section).alias("s"), F.col(html).alias("h"))))
+    parts = F.transform(body, lambda x: F.concat(F.lit("<h2>"), tx.escape_html(x["s"]), F.lit("</h2>"), x["h"]))
+    return cards.agg(F.concat(F.lit(f"<html><head><title>{subject}</title></head><body>"), F.array_join(parts, ""), F.lit("</body></html>")).alias("html"))
 
 
 def mail_rows(cards: DataFrame, to: Iterable[str], mode: str, *by: str) -> DataFrame:

@@ -14,6 +14,7 @@ from eventloom.functions import similarity as sim
 from eventloom.operators import articles as ar
 from eventloom.operators import groups as gr
 from eventloom.operators import ordered, sampling
+from eventloom.operators import selection as sel
 from eventloom.operators import usage as us
 from eventloom.plans import queries, views
 from eventloom.plans.queries import QUERIES, SQL
@@ -248,3 +249,63 @@ def test_bounded_ratio_and_soft_matches_are_the_plain_ones():
                 free.remove(b)
                 out.append(a if len(a) <= len(b) else b)
         assert sim.soft_common(left, right) == list(dict.fromkeys(out))
+
+
+def test_selection_decisions(spark):
+    groups = spark.createDataFrame([(s, f"G{i}", i, 3) for s in ("none", "bad", "low", "unknown", "good") for i in (1, 2, 3)], "section string, group_id string, place long, importance int")
+    reply = lambda *e: '```json\n{"selected": [' + ", ".join(f'{{"group_id": "{g}", "importance_score": {n}}}' for g, n in e) + "]}```"
+    replies = spark.createDataFrame([("bad", "{]"), ("low", reply(("G1", 2), ("G2", 1))), ("unknown", reply(("X", 5))), ("good", reply(("G3", 1), ("G3", 4), ("G3", 5), ("X", 5), ("G1", 9)))], "section string, reply string")
+    got = [tuple(r) for r in sel.chosen_groups(groups, replies, ["section"], limit=2).select("section", "place", "group_id", "importance_score", "decision").orderBy("section", "place").collect()]
+    ranked = [(s, i, f"G{i}", 3, "ranked") for s in ("bad", "none", "unknown") for i in (1, 2)]
+    assert got == sorted([*ranked, ("good", 1, "G3", 4, "model"), ("good", 2, "G1", 5, "model")])
+
+
+def test_state_and_history_files(spark, tmp_path):
+    (tmp_path / "state.json").write_text('{"updated_at": "x", "total_count": 2,\n "domains": ["a.kr", " ", "b.kr"]}')
+    assert rows(files.stored_domains(spark, f"file://{tmp_path}/state.json")) == [("a.kr",), ("b.kr",)]
+    assert files.stored_domains(spark, f"file://{tmp_path}/none.json").count() == 0
+    (tmp_path / "p.csv").write_text("b.kr,Two\na.kr,One\n")
+    assert [tuple(r) for r in files.publisher_table(spark, f"file://{tmp_path}/p.csv").orderBy("ord").collect()] == [("b.kr", "Two", 0), ("a.kr", "One", 1)]
+    schema = "id string, saved_date string"
+    path = f"file://{tmp_path}/h"
+    for ids in (["a", "b"], ["c"]):
+        files.rewrite_history(spark.createDataFrame([(i, "2024-01-01") for i in ids], schema), path)
+        assert [r[0] for r in rows(files.load_history(spark, path, spark.createDataFrame([], schema).schema).select("id"))] == ids
+    assert sorted(p.name for p in tmp_path.iterdir() if p.name.startswith("h")) == ["h"]
+    (tmp_path / "h" / "saved_date=2024-01-01" / "broken.json").write_text('{"id": 1\n{"id": "d"}\n')
+    parsed = spark.createDataFrame([], schema).schema
+    assert [r[0] for r in rows(files.load_history(spark, path, parsed).select("id"))] == ["c", "d"]
+    assert files.broken_history(spark, path, parsed).count() == 1
+
+
+def test_cards_and_mail(spark):
+    df = spark.createDataFrame([("s", 1, "A<b", "http://x", "P"), ("s", 2, "B", "#", "P"), ("t", 1, "C", " ", "P")], "section string, o int, title string, url string, source string")
+    cards = files.related_cards(df, ["section"], "o", "title", "url", "source")
+    assert [r["section"] for r in cards.collect()] == ["s"]
+    mail = files.section_mail(cards, "section", "html", "News").first()["html"]
+    assert "<h2>s</h2>" in mail and "A&lt;b" in mail and 'id="news-1"' in mail and "news-2" not in mail
+    assert [r["receiver"] for r in files.mail_rows(cards, ["a@x", "b@x"], "bulk").collect()] == ["a@x,b@x"]
+
+
+def test_streams_keep_state_across_batches(spark, tmp_path):
+    """One query reads a file a batch; what one batch delivered is known in the next."""
+    schema = "scope string, key string, day long"
+    data = [[("s", "a", 1), ("s", "b", 1)], [("s", "a", 2), ("s", "c", 2), ("t", "a", 2)], [("s", "a", 5)]]
+    for i, part in enumerate(data):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        os.utime(next(p for p in sorted((tmp_path / "in").glob("*.parquet"), key=os.path.getmtime, reverse=True)), (1_700_000_000 + i, 1_700_000_000 + i))
+    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = micro.drop_delivered(src, "scope", "key", "day", 3).writeStream.outputMode("append").format("memory").queryName("state").start()
+    q.processAllAvailable()
+    batches = len([p for p in q.recentProgress if p["numInputRows"]])
+    q.stop()
+    assert batches == 3 and rows(spark.table("state")) == sorted([("s", "a", 1), ("s", "b", 1), ("s", "c", 2), ("t", "a", 2), ("s", "a", 5)])
+    news = [[("http://www.a.kr/1", "2024-01-30 10:00:00"), ("http://a.kr/1?x", "2024-01-30 11:00:00")], [("https://m.a.kr/1", "2024-01-30 12:00:00"), ("http://a.kr/1/", "2024-01-30 12:30:00"), ("http://a.kr/2", "2024-01-20 12:00:00"), (None, None)]]
+    for i, part in enumerate(news):
+        spark.createDataFrame(part, "url string, t string").select("url", F.to_timestamp("t").alias("t")).coalesce(1).write.mode("append").parquet(str(tmp_path / "news"))
+    src = spark.readStream.schema("url string, t timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "news"))
+    recent = micro.recent_only(src, "t", F.lit("2024-01-31 00:00:00").cast("timestamp"), 24)
+    q = micro.first_by_url(recent, "t", "url", "1 day").writeStream.outputMode("append").format("memory").queryName("first").start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(r["url_key"] for r in spark.table("first").collect()) == ["a.kr/1", "m.a.kr/1"]

@@ -518,7 +518,7 @@ def test_baum_welch_counts():
     m, r = random_model(2), np.random.default_rng(3)
     lens = np.array([5, 3, 1])
     symbols = r.integers(0, hmm.SYMBOLS, lens.sum())
-    start, move, emit, total = hmm.expected_counts(m, symbols, lens, width=2)
+    start, move, emit, total = hmm.expected_counts(m, symbols, hmm.Windows.of(lens), width=2)
     s2, m2, e2, t2, at = np.zeros_like(start), np.zeros_like(move), np.zeros_like(emit), 0.0, 0
     for n in lens:
         x = symbols[at : at + n]
@@ -542,6 +542,32 @@ def test_pack():
     assert (hmm.unpack(hmm.pack(x)) == x).all()
 
 
+def test_windows_count_each_token_of_long_texts_once(monkeypatch):
+    """Texts of many windows: all tokens and moves are counted, near what whole texts give, and exactly where a window holds a text."""
+    m = random_model(3)
+    lens = np.array([1, 5, 700, 30, 2000])
+    symbols = np.random.default_rng(4).integers(0, hmm.SYMBOLS, lens.sum())
+    monkeypatch.setattr(hmm, "CORE", 100_000)
+    whole = hmm.expected_counts(m, symbols, hmm.Windows.of(lens))
+    monkeypatch.setattr(hmm, "CORE", 100)
+    cut = hmm.expected_counts(m, symbols, hmm.Windows.of(lens))
+    assert cut[0].sum() == pytest.approx(len(lens)) and cut[1].sum() == pytest.approx((lens - 1).sum()) and cut[2].sum() == pytest.approx(lens.sum())
+    for x, y in zip(whole, cut):
+        np.testing.assert_allclose(x, y, rtol=1e-3, atol=1e-3)
+    own, windows = hmm.Windows.of(lens).take(np.array([3, 8])).alone(symbols)
+    assert len(own) == windows.size.sum() and (own[: windows.size[0]] == symbols[hmm.Windows.of(lens).first[3] :][: windows.size[0]]).all()
+
+
+def test_hidden_markov_gains_over_the_base_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    more = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select((F.col("doc_id") + 10_000).alias("doc_id"), "text")
+    scored = hmm.score(docs.union(more))
+    first, second = ([r["score"] for r in df.orderBy("doc_id").collect()] for df in (scored, hmm.score(docs.union(more))))
+    assert first == pytest.approx(second, rel=1e-6)
+    r = scored.where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert r["s"] / r["n"] > r["b"] / r["n"] + 0.2
+
+
 def test_phrases_share_interiors():
     r = random.Random(6)
     body = "".join(r.choice("abcdefgh ") for _ in range(4000))

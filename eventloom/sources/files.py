@@ -66,7 +66,10 @@ def _history(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 def broken_history(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The lines that load_history leaves out."""
-    return _history(spark, path, schema).where("__broken is not null").select("__broken")
+    every = T.StructType([*schema.fields, T.StructField("__broken", T.StringType())])
+    at, fs = _path(spark, path)
+    lines = spark.read.text(path, recursiveFileLookup=True) if fs.exists(at) else spark.createDataFrame([], "value string")
+    return lines.select(F.from_json("value", every, {"columnNameOfCorruptRecord": "__broken"})["__broken"].alias("line")).where("line is not null")
 
 
 def _path(spark: SparkSession, path: str):

@@ -48,11 +48,11 @@ def held_out(key: str, folds: int) -> F.Column:
 
 
 def fitting_rows(docs: DataFrame, labels: DataFrame, label: str, *, key: str, text: str, folds: int, limit: int) -> DataFrame:
-    """(key, text, label) of a bounded sample of labelled rows that are not held out."""
+    """(key, text, label) of a bounded sample of labelled rows that are not held out; of documents with one id the least text."""
     chosen = labels.select(labels[key].alias("key"), labels[label].cast("int").alias("label")).where(F.col("key").isNotNull() & F.col("label").isNotNull()).where(~held_out("key", folds))
     chosen = chosen.groupBy("key").agg(F.max("label").alias("label")).orderBy(F.xxhash64("key"), "key").limit(limit)
     rows = docs.select(docs[key].alias("key"), docs[text].cast("string").alias("text"))
-    return rows.join(F.broadcast(chosen), "key").select("key", "text", "label")
+    return rows.join(F.broadcast(chosen), "key").groupBy("key", "label").agg(F.min("text").alias("text")).select("key", "text", "label")
 
 
 def term_counts(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -106,10 +106,13 @@ class Space:
         if not len(self.labels):
             return np.full(len(counts), self.mean)
         cosines = self.unit(weighed(counts, self.idf)) @ self.units.T
+        # Rounded, so that a block's shape doesn't decide between equal ones; all that are as near as the last neighbour vote.
+        cosines = np.round(cosines, 5)
         k = min(NEIGHBOURS, cosines.shape[1])
-        near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cosines, near, 1), 1e-3).astype(np.float64) ** SHARPNESS
-        return (weight * self.labels[near]).sum(1) / weight.sum(1)
+        last = -np.partition(-cosines, k - 1, axis=1)[:, k - 1 : k]
+        row, near = np.nonzero(cosines >= last)
+        weight = np.maximum(cosines[row, near], 1e-3).astype(np.float64) ** SHARPNESS
+        return np.bincount(row, weight * self.labels[near], len(cosines)) / np.bincount(row, weight, len(cosines))
 
 
 def classify(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", folds: int = 5, threshold: float = 0.3, fit_rows: int = FIT_ROWS) -> DataFrame:

@@ -656,6 +656,21 @@ def test_a_rule_that_votes_at_random_loses_its_say(spark):
     assert good > 0.9
 
 
+def test_repeated_ids_count_once_in_the_fit(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "other"), (3, None)], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1)], "doc_id long, quality int")
+    got = neighbours.fitting_rows(docs, labels, "quality", key="doc_id", text="text", folds=5, limit=10)
+    assert sorted(map(tuple, got.collect())) == sorted([(k, t, y) for k, t, y in ((1, "text 0", 1), (2, "other", 0), (3, None, 1)) if zlib.crc32(str(k).encode()) % 5])
+
+
+def test_equal_cosines_all_vote():
+    counts = np.zeros((40, neighbours.WIDTH), np.float32)
+    counts[:, 3], counts[30:, 5] = 1, 1
+    s = neighbours.Space(counts, np.arange(40) % 2)
+    # 30 texts are the same: all of them vote, more than NEIGHBOURS, half of them 1.
+    assert s.score(counts[:1])[0] == pytest.approx(0.5) and len(set(np.round(s.score(counts[:30]), 9))) == 1
+
+
 def test_neighbours(spark):
     r = random.Random(10)
     good = lambda: " ".join(r.choice(["meadow", "river", "stone", "garden", "window"]) for _ in range(60))

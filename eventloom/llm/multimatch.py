@@ -369,16 +369,16 @@ def _whole_sets(c: _Corpus, nodes: DataFrame) -> DataFrame:
     """
     wanted = settle(c.classes.join(nodes.distinct().hint("merge"), "node", "left_semi").select("node", F.col("first_key").alias("wanted_key"), "h1", "h2"), "wanted")
     bit = lambda x: F.pmod(F.xxhash64(x), F.lit(1 << FILTER_BITS))
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    found = wanted.select(bit("wanted_key").alias("bit")).groupBy((F.col("bit") / 4096).cast("int").alias("page")).agg(F.collect_set((F.col("bit") % 4096).cast("int")).alias("at"))
-    for r in found.toLocalIterator():
-        bits[r["page"] * 4096 + np.array(r["at"])] = True
-    sent, rarity, width = c.rows.sparkSession.sparkContext.broadcast(np.packbits(bits)), c.rarity, c.width
+    # 64 bits a row, so the driver gets 2**FILTER_BITS / 64 short rows at most.
+    found = wanted.select(bit("wanted_key").alias("bit")).groupBy((F.col("bit") / 64).cast("int").alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("bit") % 64).cast("int"))).alias("bits")).toArrow()
+    words = np.zeros(1 << FILTER_BITS - 6, np.int64)
+    words[found["word"].to_numpy()] = found["bits"].to_numpy()
+    sent, rarity, width = c.rows.sparkSession.sparkContext.broadcast(words), c.rarity, c.width
 
     @F.pandas_udf("boolean")
     def maybe(at: pd.Series) -> pd.Series:
         x = at.to_numpy(np.int64)
-        return pd.Series((sent.value[x >> 3] >> (7 - (x & 7)) & 1).astype(bool))
+        return pd.Series((sent.value[x >> 6] >> (x & 63) & 1).astype(bool))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()

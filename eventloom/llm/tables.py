@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,15 +29,33 @@ def shared_folder(spark: SparkSession) -> str:
 _written: list[tuple[SparkSession, str]] = []
 
 
+#: Removes a query's shuffle files at its end, and not when the driver's garbage collector comes to it.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_end_with_the_query(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def settle(df: DataFrame, label: str) -> DataFrame:
     """Write a frame as Parquet into the shared folder and read it back.
 
     This cuts the lineage: what was read from several executors' shuffle files
-    is then in files that outlive any of them.
+    is then in files that outlive any of them, and the shuffle files go.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_end_with_the_query(spark):
+        df.write.parquet(path)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventloom.llm import bpe, mixing, multimatch, quality_rules, toxicity
-from eventloom.llm.tables import settle
+from eventloom.llm.tables import discard, settle
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -66,7 +66,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = settle(docs, f"stage-{i}")
+            discard(before)
     return docs

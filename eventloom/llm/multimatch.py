@@ -54,6 +54,8 @@ FILTER_BITS = 24
 MOST_MATCHES = 4
 #: Lists of more classes than this are not joined pair by pair but by differences from their leader.
 LIGHT = 24
+#: Parts in which the rows of one component are dealt out.
+SALTS = 16
 
 _U = np.uint64
 
@@ -212,8 +214,10 @@ def link(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int
     named = settle(classes.select("node", "h1", "h2", "first_key"), "names")
     discard(classes)
     found = roots.join(named.select("node", "first_key").hint("merge"), "node")
-    least = found.groupBy("root").agg(F.min("first_key").alias("component_id"))
-    named = named.join(found.select("node", "root").join(least.hint("merge"), "root").select("node", "component_id").hint("merge"), "node", "left").withColumn("component_id", F.coalesce("component_id", "first_key"))
+    # A component may hold a third of all classes, so its rows meet its least key in SALTS parts.
+    least = found.groupBy("root").agg(F.min("first_key").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = found.select("node", "root", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt"))
+    named = named.join(salted.join(least.hint("merge"), ["root", "salt"]).select("node", "component_id").hint("merge"), "node", "left").withColumn("component_id", F.coalesce("component_id", "first_key"))
     named = named.select("h1", "h2", F.col("first_key").alias("class_id"), "component_id")
     out = ids.where("n > 0").join(named.hint("merge"), ["h1", "h2"]).select("key", "n", "component_id", "class_id")
     out = out.unionByName(ids.where("n = 0").select("key", "n", F.col("key").alias("component_id"), F.col("key").alias("class_id")))

@@ -5,8 +5,8 @@ have one each, all others share those of their last three bytes' hash, and the
 end of a text has one.  A word's probability is that of its symbol from the
 hidden state times its share of the symbol's training count, so the model gives
 every word, known or not, a probability, and needs K * symbols numbers whatever
-the corpus's size.  Expected counts are summed over all partitions in each round
-of Baum-Welch.  Every training token is counted once, in the window of its text that
+the corpus's size.  Every round of Baum-Welch, from a start that knows only the
+corpus's shares of the symbols, sums expected counts over all partitions.  Every training token is counted once, in the window of its text that
 has it in its core; beside the core the recursions read some of the text's tokens on
 both sides, after which what the states were further off hardly matters.  So texts of
 CORE + LAG tokens are counted exactly, the start of a text only where it starts, and
@@ -37,13 +37,11 @@ from pyspark.sql import functions as F
 from . import textarrays as ta
 from .tables import discard, settle
 
-STATES, ROUNDS = 6, 4
+STATES, ROUNDS = 6, 12
 TOP_WORDS, TAILS = 4096, 2048
 #: Tokens of a window whose counts Baum-Welch takes from it, and those of the same text that it reads before and behind them.
 CORE, LAG = 256, 24
 BLOCK_WORDS = 1_600_000
-#: Tokens, about, of the windows from all texts from which Baum-Welch starts, and rounds on them; the windows are drawn by a hash.
-SAMPLE_WORDS, SAMPLE_ROUNDS = 400_000, 15
 SMOOTH = 0.1
 SYMBOLS = TOP_WORDS + TAILS + 1
 END = SYMBOLS - 1
@@ -158,46 +156,52 @@ class Windows(NamedTuple):
         return symbols[place], self._replace(first=np.cumsum(self.size) - self.size)
 
 
-def expected_counts(m: Model, symbols: np.ndarray, windows: Windows, width: int = 512) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Forward and backward recursions over windows: expected starts, moves and emissions of their cores, and the cores' log-likelihood."""
-    start, move, emit, total = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((SYMBOLS, STATES)), 0.0
+def expected_counts(m: Model, symbols: np.ndarray, windows: Windows, width: int = 1024) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Forward and backward recursions over windows: expected starts, moves and emissions of their cores, and the cores' log-likelihood.
+
+    Steps are [state, window] in single precision, scaled at each token; sums over tokens are in double precision.
+    """
+    start, moves, emit, total = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((STATES, SYMBOLS)), 0.0
+    emits, move = m.emit.astype(np.float32), m.move.astype(np.float32)
+    into = np.ascontiguousarray(move.T)
     order = np.argsort(-windows.size, kind="stable")
     for lo in range(0, len(order), width):
         mine = windows.take(order[lo : lo + width])
         at, n = mine.first, mine.size
         steps, cols = int(n[0]), len(at)
         live = np.searchsorted(-n, -np.arange(steps), "left").tolist()  # windows longer than t
-        grid = np.zeros((steps, cols), np.int32)
-        for t in range(steps):
-            grid[t, : live[t]] = symbols[at[: live[t]] + t]
         place = np.arange(steps)[:, None]
-        counted = ((place >= mine.skip) & (place < mine.skip + mine.core)).astype(np.float64)
-        b = m.by_symbol[grid]
-        alpha, scale = np.zeros((steps, cols, STATES)), np.ones((steps, cols))
-        a = np.where(mine.starts[:, None], m.start, 1 / STATES) * b[0]
+        grid = np.where(place < n, symbols[np.minimum(at + place, len(symbols) - 1)], 0).astype(np.int64)
+        counted = (place >= mine.skip) & (place < mine.skip + mine.core)
+        alpha, b, scale = np.zeros((steps, STATES, cols), np.float32), np.empty((steps, STATES, cols), np.float32), np.ones((steps, cols), np.float32)
         for t in range(steps):
             c = live[t]
+            np.take(emits, grid[t], axis=1, out=b[t], mode="clip")
+            a = alpha[t, :, :c]
             if t:
-                a = (alpha[t - 1, :c] @ m.move) * b[t, :c]
-            s = a.sum(1)
-            scale[t, :c] = s
-            alpha[t, :c] = a / s[:, None]
-        total += float((np.log(scale) * counted).sum())
-        beta = np.ones((cols, STATES))
+                np.matmul(into, alpha[t - 1, :, :c], out=a)
+            else:
+                a[:] = np.where(mine.starts, m.start[:, None], 1 / STATES)
+            a *= b[t, :, :c]
+            a /= a.sum(0, out=scale[t, :c])
+        total += float(np.log(scale[counted]).sum(dtype=np.float64))
+        beta = np.ones((STATES, cols), np.float32)
         gamma = alpha  # becomes the posterior in place, from the end
         for t in range(steps - 1, 0, -1):
             c = live[t]
-            w = b[t, :c] * beta[:c] / scale[t, :c, None]
-            move += (alpha[t - 1, :c].T @ (w * counted[t, :c, None])) * m.move
-            gamma[t, :c] *= beta[:c]
-            beta[:c] = w @ m.move.T
+            w = b[t, :, :c]
+            w *= beta[:, :c]
+            w /= scale[t, :c]
+            gamma[t, :, :c] *= beta[:, :c]
+            np.matmul(move, w, out=beta[:, :c])
+            w *= counted[t, :c]
+            moves += alpha[t - 1, :, :c] @ w.T
         gamma[0] *= beta
-        start += gamma[0][mine.starts].sum(0)
-        gamma *= counted[:, :, None]
-        flat, weight = grid.ravel(), gamma.reshape(-1, STATES)
+        start += gamma[0][:, mine.starts].sum(1, dtype=np.float64)
+        flat = np.where(counted, grid, SYMBOLS).ravel()
         for k in range(STATES):
-            emit[:, k] += np.bincount(flat, weights=weight[:, k], minlength=SYMBOLS)
-    return start, move, emit.T, total
+            emit[k] += np.bincount(flat, weights=gamma[:, k].ravel(), minlength=SYMBOLS + 1)[:SYMBOLS]
+    return start, moves * m.move, emit, total
 
 
 def log_likelihoods(m: Model, symbols: np.ndarray, lens: np.ndarray, width: int = 512) -> np.ndarray:
@@ -327,12 +331,12 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folds: in
                 share = np.where(is_top, 0.0, np.log10((n + SMOOTH) / (of_tail[tails] + SMOOTH * (kinds[tails] + 1))))
                 rows_ = np.concatenate(([0], np.cumsum(lens)))
                 sums = lambda per_word: np.diff(np.concatenate(([0.0], np.cumsum(per_word[places])))[rows_])  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("ids")).slice(r, 1), *(pa.array([x], pa.binary()) for x in (_array(b, "train", r, np.bool_).tobytes(), lens.astype(np.int32).tobytes(), pack(symbol[places].astype(np.int32)), _exact_sums(np.log10(n + SMOOTH), places, rows_).tobytes(), sums((n > 0).astype(float)).tobytes(), _exact_sums(share, places, rows_).tobytes())), pa.array([int((lens + 1)[_array(b, "train", r, np.bool_)].sum())])], names=["ids", "train", "lens", "symbols", "base", "n_known", "share", "n_train"])
+                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("ids")).slice(r, 1), *(pa.array([x], pa.binary()) for x in (_array(b, "train", r, np.bool_).tobytes(), lens.astype(np.int32).tobytes(), pack(symbol[places].astype(np.int32)), _exact_sums(np.log10(n + SMOOTH), places, rows_).tobytes(), sums((n > 0).astype(float)).tobytes(), _exact_sums(share, places, rows_).tobytes()))], names=["ids", "train", "lens", "symbols", "base", "n_known", "share"])
 
-    coded = settle(blocks.drop("counts", "words").join(back, "block", "left").drop("block").mapInArrow(symbolise, "ids array<bigint>, train binary, lens binary, symbols binary, base binary, n_known binary, share binary, n_train bigint"), "symbols")
+    coded = settle(blocks.drop("counts", "words").join(back, "block", "left").drop("block").mapInArrow(symbolise, "ids array<bigint>, train binary, lens binary, symbols binary, base binary, n_known binary, share binary"), "symbols")
     discard(blocks)
     discard(counts)
-    model = _train(coded.select("ids", "train", "lens", "symbols", "n_train"), unigram, rounds)
+    model = _train(coded.select("train", "lens", "symbols"), unigram, rounds)
     sent = spark.sparkContext.broadcast((model.start, model.move, model.emit))
     end_log, low = math.log10((n_docs or 0) + SMOOTH), math.log10(n_all + SMOOTH * (v_all + 1))
 
@@ -358,47 +362,17 @@ def _exact_sums(per_word: np.ndarray, places: np.ndarray, rows: np.ndarray) -> n
     return out
 
 
-def _training(batch: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, with ends, lengths and keys of a block's training texts; a null key is 0."""
+def _training(batch: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols, with ends, and lengths of a block's training texts."""
     lens, train = _array(batch, "lens", r, np.int32).astype(np.int64), _array(batch, "train", r, np.bool_)
     symbols, tokens = _with_ends(_symbols(batch, r), lens)
-    ids = batch.column(batch.schema.get_field_index("ids"))[r].values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return symbols[np.repeat(train, tokens)], tokens[train], ids[train]
+    return symbols[np.repeat(train, tokens)], tokens[train]
 
 
 def _train(coded: DataFrame, unigram: np.ndarray, rounds: int) -> Model:
+    """Rounds of Baum-Welch from the noisy unigram, each on the windows of all training texts."""
     spark = coded.sparkSession
-
-    # The start: some rounds on windows from all texts, drawn by a hash of the text's key and the window's number.
-    total = coded.agg(F.sum("n_train").alias("n")).first()["n"] or 0
-    share = min(1.0, SAMPLE_WORDS / max(total, 1))
-
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in range(len(b)):
-                symbols, lens, ids = _training(b, r)
-                windows = Windows.of(lens)
-                many = -(-lens // CORE)
-                number = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
-                drawn = ta.splitmix(np.repeat(ta.splitmix(ids.view(_U)), many) + number.astype(_U)) >> _U(11)
-                own, mine = windows.take(np.flatnonzero(drawn < share * 2.0**53)).alone(symbols)
-                if len(own):
-                    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (own.astype(np.uint16), *(np.asarray(x, np.int64) for x in mine))], names=["symbols", *Windows._fields])
-
     model = Model.guess(unigram)
-    got = coded.mapInArrow(sample, ", ".join(f"{c} binary" for c in ("symbols", *Windows._fields))).collect()
-    if got:
-        # In an order of their own, so that sums are the same on every run.
-        got = sorted(got, key=lambda r: bytes(r["symbols"]))
-        parts = [[np.frombuffer(r[c], np.int64) for c in Windows._fields] for r in got]
-        symbols = [np.frombuffer(r["symbols"], np.uint16) for r in got]
-        before = np.cumsum([0, *map(len, symbols)])
-        fields = [np.concatenate(x) for x in zip(*parts)]
-        fields[0] = fields[0] + np.repeat(before[:-1], [len(p[0]) for p in parts])
-        fields[4] = fields[4].astype(bool)
-        for _ in range(SAMPLE_ROUNDS):
-            model = Model.from_counts(*expected_counts(model, np.concatenate(symbols), Windows(*fields))[:3], unigram)
-
     for _ in range(rounds):
         sent = spark.sparkContext.broadcast((model.start, model.move, model.emit))
 
@@ -406,7 +380,7 @@ def _train(coded: DataFrame, unigram: np.ndarray, rounds: int) -> Model:
             m, sums = Model(*sent.value), None
             for b in batches:
                 for r in range(len(b)):
-                    symbols, lens, _ = _training(b, r)
+                    symbols, lens = _training(b, r)
                     got = expected_counts(m, symbols, Windows.of(lens))
                     flat = np.concatenate([x.ravel() for x in got[:3]])
                     sums = flat if sums is None else sums + flat

@@ -558,6 +558,27 @@ def test_windows_count_each_token_of_long_texts_once(monkeypatch):
     assert len(own) == windows.size.sum() and (own[: windows.size[0]] == symbols[hmm.Windows.of(lens).first[3] :][: windows.size[0]]).all()
 
 
+def test_baum_welch_reads_all_training_texts_in_every_round(spark):
+    """Texts of more tokens than any bounded sample: the rounds are those of a plain loop over all of them, from the guess."""
+    r = np.random.default_rng(5)
+    blocks, unigram = [], np.full(hmm.SYMBOLS, 1 / hmm.SYMBOLS)
+    for k in range(3):
+        lens = r.integers(0, 900, 500).astype(np.int32)
+        symbols = r.integers(0, 300, lens.sum()) + 150 * k
+        blocks.append(([int(x) for x in range(500 * k, 500 * k + 500)], r.random(500) < 0.9, lens, symbols))
+    total = int(sum((lens + 1)[train].sum() for _, train, lens, _ in blocks))
+    assert total > 500_000
+    rows = [(ids, bytearray(train.tobytes()), bytearray(lens.tobytes()), bytearray(hmm.pack(symbols.astype(np.int32))), total) for ids, train, lens, symbols in blocks]
+    got = hmm._train(spark.createDataFrame(rows, "ids array<bigint>, train binary, lens binary, symbols binary, n_train bigint"), unigram, 2)
+    texts = [(x, train[i]) for _, train, lens, symbols in blocks for i, x in enumerate(np.split(symbols, np.cumsum(lens)[:-1]))]
+    mine = [np.append(x, hmm.END) for x, used in texts if used]
+    model = hmm.Model.guess(unigram)
+    for _ in range(2):
+        model = hmm.Model.from_counts(*hmm.expected_counts(model, np.concatenate(mine), hmm.Windows.of(np.array([len(x) for x in mine])))[:3], unigram)
+    for name in ("start", "move", "emit"):
+        np.testing.assert_allclose(getattr(got, name), getattr(model, name), rtol=1e-3, atol=1e-9)
+
+
 def test_hidden_markov_gains_over_the_base_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
     more = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select((F.col("doc_id") + 10_000).alias("doc_id"), "text")

@@ -50,7 +50,7 @@ _U = np.uint64
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (doc ids, training flags, words in each, dictionary, tail symbols, training counts, places) of whole texts."""
+    """Rows (dictionary, tail symbols, training counts; the rest, doc ids, training flags, words in each, tail symbols and places, as one value) of whole texts."""
     held: list[tuple] = []
     size = 0
 
@@ -67,10 +67,12 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank[order] = np.arange(len(order), dtype=np.int32)
         words, first, places = words[order], first[order], rank[places]
         counts = np.bincount(places[np.repeat(train, lens)], minlength=len(words))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([ids], pa.list_(pa.int64())), *(pa.array([x.tobytes()], pa.binary()) for x in (train, lens.astype(np.int32), words, tails[first], counts.astype(np.int32))), pa.array([pack(places)], pa.binary())],
-            names=["ids", "train", "lens", "words", "tails", "counts", "places"],
-        )
+        binary = lambda *arrays: [pa.array([x], pa.binary()) for x in arrays]
+        rest = pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), *binary(train.tobytes(), lens.astype(np.int32).tobytes(), tails[first].tobytes(), pack(places))], names=["ids", "train", "lens", "tails", "places"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rest.schema) as out:
+            out.write_batch(rest)
+        return pa.RecordBatch.from_arrays(binary(words.tobytes(), tails[first].tobytes(), counts.astype(np.int32).tobytes(), sink.getvalue().to_pybytes()), names=["words", "tails", "counts", "rest"])
 
     for b in batches:
         data, off = ta.buffers(b.column(2))
@@ -255,8 +257,7 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folds: in
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col("key").cast("string").cast("binary")) % folds == 0, F.lit(False))
     rows = docs.select(docs[key].cast("bigint").alias("key"), docs[text].cast("string").alias("text")).select("key", (~held).alias("train"), "text")
-    binaries = "train binary, lens binary, words binary, tails binary, counts binary, places binary"
-    blocks = settle(rows.mapInArrow(_blocks, f"ids array<bigint>, {binaries}").withColumn("block", F.monotonically_increasing_id()), "blocks")
+    blocks = settle(rows.mapInArrow(_blocks, "words binary, tails binary, counts binary, rest binary").withColumn("block", F.monotonically_increasing_id()), "blocks")
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -294,46 +295,36 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", folds: in
     # Each block's counts, in the order of its dictionary.
     wanted = listed.select("block", "place", "word").join(counts.select("word", "n"), "word")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts_ = None, []
-        def close() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), *(pa.array([np.concatenate(x).tobytes()], pa.binary()) for x in zip(*parts_))], names=["block", "at", "n", "slot"])
-        for b in batches:
-            block, place, n, slot = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            cuts = np.flatnonzero(np.diff(block)) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(block)]):
-                if hi > lo:
-                    if block[lo] != now and parts_:
-                        yield close()
-                        parts_ = []
-                    now = int(block[lo])
-                    parts_.append((place[lo:hi].astype(np.int32), n[lo:hi].astype(np.int64), slot[lo:hi].astype(np.int16)))
-        if parts_:
-            yield close()
-
     tops = spark.createDataFrame([(int(w), i) for i, w in enumerate(top_words)], "word bigint, slot smallint")
-    back = wanted.join(F.broadcast(tops), "word", "left").select("block", "place", "n", F.coalesce("slot", F.lit(-1).cast("smallint")).alias("slot"))
-    back = back.repartition(parts, "block").sortWithinPartitions("block").mapInArrow(gather, "block bigint, at binary, n binary, slot binary")
+    spot = F.col("place").cast("bigint") * 8192 + F.coalesce("slot", F.lit(-1)) + 1
+    back = wanted.join(F.broadcast(tops), "word", "left").select("block", F.lit(None).cast("binary").alias("rest"), spot.alias("spot"), "n")
+    # One shuffle, in which a block's row comes behind its counts; few blocks a task, as their rows are large, and few columns, as Arrow's cost is by value.
+    behind = blocks.select("block", "rest", F.lit(-1).cast("bigint").alias("spot"), F.lit(0).cast("bigint").alias("n"))
+    met = back.union(behind).repartition(max(parts, 2 * blocks.count()), "block").sortWithinPartitions("block", F.col("rest").isNotNull()).select("rest", "spot", "n")
 
     def symbolise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, of_tail, kinds = known.value
-        for b in batches:
-            for r in range(len(b)):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            spots, sizes, lo = batch.column(1).to_numpy(), batch.column(2).to_numpy(), 0
+            for i in np.flatnonzero(spots < 0).tolist():
+                at, seen = (np.concatenate(x) for x in zip(*held, (spots[lo:i], sizes[lo:i])))
+                held, lo, r = [], i + 1, 0
+                b = pa.ipc.open_stream(batch.column(0)[i].as_buffer()).read_next_batch()
                 tails, lens = _array(b, "tails", r, np.uint16), _array(b, "lens", r, np.int32).astype(np.int64)
                 places = unpack(b.column(b.schema.get_field_index("places"))[r].as_buffer())
                 n, slot = np.zeros(len(tails), np.int64), np.full(len(tails), -1, np.int16)
-                if b.column(b.schema.get_field_index("at"))[r].is_valid:
-                    at = _array(b, "at", r, np.int32)
-                    n[at], slot[at] = _array(b, "n", r, np.int64), _array(b, "slot", r, np.int16)
+                n[at >> 13], slot[at >> 13] = seen, (at & 8191) - 1
                 is_top = slot >= 0
                 symbol = np.where(is_top, slot, TOP_WORDS + tails.astype(np.int64)).astype(np.uint16)
                 share = np.where(is_top, 0.0, np.log10((n + SMOOTH) / (of_tail[tails] + SMOOTH * (kinds[tails] + 1))))
                 rows_ = np.concatenate(([0], np.cumsum(lens)))
                 sums = lambda per_word: np.diff(np.concatenate(([0.0], np.cumsum(per_word[places])))[rows_])  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("ids")).slice(r, 1), *(pa.array([x], pa.binary()) for x in (_array(b, "train", r, np.bool_).tobytes(), lens.astype(np.int32).tobytes(), pack(symbol[places].astype(np.int32)), _exact_sums(np.log10(n + SMOOTH), places, rows_).tobytes(), sums((n > 0).astype(float)).tobytes(), _exact_sums(share, places, rows_).tobytes()))], names=["ids", "train", "lens", "symbols", "base", "n_known", "share"])
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x], pa.binary()) for x in (_array(b, "train", r, np.bool_).tobytes(), lens.astype(np.int32).tobytes(), pack(symbol[places].astype(np.int32)), _exact_sums(np.log10(n + SMOOTH), places, rows_).tobytes(), sums((n > 0).astype(float)).tobytes(), _exact_sums(share, places, rows_).tobytes()))], names=["ids", "train", "lens", "symbols", "base", "n_known", "share"])
+            held.append((spots[lo:].copy(), sizes[lo:].copy()))
+        ta.release()
 
-    coded = settle(blocks.drop("counts", "words").join(back, "block", "left").drop("block").mapInArrow(symbolise, "ids array<bigint>, train binary, lens binary, symbols binary, base binary, n_known binary, share binary"), "symbols")
+    coded = settle(met.mapInArrow(symbolise, "ids array<bigint>, train binary, lens binary, symbols binary, base binary, n_known binary, share binary"), "symbols")
     discard(blocks)
     discard(counts)
     model = _train(coded.select("train", "lens", "symbols"), unigram, rounds)

@@ -501,6 +501,15 @@ def random_model(seed):
     return hmm.Model(norm(r.random(hmm.STATES)), norm(r.random((hmm.STATES, hmm.STATES))), norm(r.random((hmm.STATES, hmm.SYMBOLS)) ** 8))
 
 
+def test_hidden_markov_scores_are_those_of_any_blocks(spark, docs):
+    """Many blocks, some in one task, give what one block does."""
+    kept = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).localCheckpoint()
+    one, many = ({r["doc_id"]: r for r in hmm.score(kept.repartition(n), rounds=1).collect()} for n in (1, 9))
+    assert one.keys() == many.keys()
+    for k, r in one.items():
+        assert r[:5] == many[k][:5] and r[5] == pytest.approx(many[k][5], rel=1e-9) and r[6] == pytest.approx(many[k][6], rel=1e-4)
+
+
 def test_forward_recursion_is_exact():
     m, r = random_model(0), np.random.default_rng(1)
     lens = np.array([3, 1, 0, 7, 40])

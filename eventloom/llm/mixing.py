@@ -138,9 +138,12 @@ def apply_mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", sourc
     taken = ("passes", "from_1", "to_1", "from_2", "to_2", "taken")
     columns = {c: f"__{i}" for i, c in enumerate(docs.columns)}
     safe = docs.select(*(docs[c].alias(n) for c, n in columns.items()))
-    df = mix(safe, key=columns[key], text=columns[text], source=columns[source], carry=list(columns.values()), **options).select(*columns.values(), *taken)
+    df = mix(safe, key=columns[key], text=columns[text], source=columns[source], carry=list(columns.values()), **options).select(*columns.values(), "size", *taken)
+    # Only a document that the run cuts is taken apart into its words; a whole one's words are joined by one space as text.
     all_words = F.array_remove(F.split(columns[text], r"[\x20\x09-\x0D]+"), "")
-    part = lambda a, b: F.when(F.col(b) > F.col(a), F.array_join(F.slice(all_words, F.col(a).cast("int") + 1, (F.col(b) - F.col(a)).cast("int")), " "))
+    whole = F.trim(F.regexp_replace(columns[text], r"[\x20\x09-\x0D]+", " "))
+    cut = lambda a, b: F.array_join(F.slice(all_words, F.col(a).cast("int") + 1, (F.col(b) - F.col(a)).cast("int")), " ")
+    part = lambda a, b: F.when((F.col(a) == 0) & (F.col(b) == F.col("size")) & (F.col(b) > 0), whole).when(F.col(b) > F.col(a), cut(a, b))
     pieces = F.concat(F.array_repeat(F.col(columns[text]), F.col("passes").cast("int")), F.array_compact(F.array(part("from_1", "to_1"), part("from_2", "to_2"))))
     out = df.withColumn("pieces", F.filter(pieces, lambda x: x.isNotNull())).where("taken > 0")
     out = out.select(*(F.col(n).alias(c) for c, n in columns.items() if c != text), F.explode("pieces").alias(text))

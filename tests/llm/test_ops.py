@@ -433,6 +433,16 @@ def test_mixing(spark, docs):
     assert all(x["target"] == 0 for x in mixing.mix(docs.where("text is null")).collect())
 
 
+def test_mixing_splits_only_texts_that_the_run_cuts(spark):
+    """A whole document's words are joined as text, as by a split: all white space inside is one space, other blanks stay."""
+    texts = ["a", " a ", "a\t\n b", "\x0ba\x0c\rb  c", "a\u00a0b\u2003c d", "\x1ca b", "é  ü\n"]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id bigint, text string, source string")
+    mixed = mixing.apply_mix(df, share=2.0)
+    for r in mixed.collect():
+        assert r["text"] in (texts[r["doc_id"]], " ".join(words(texts[r["doc_id"]])))
+    assert "regexp_replace" in mixed._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_bpe(spark, docs):
     ref = Reference.from_file(PATH)
     for x in bpe.encode_decode(docs, PATH, ids=True).collect():

@@ -44,6 +44,8 @@ SPLIT_PLAIN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+
 PLAIN = "[\x00-\x1b\x20-\xb1\xb4-\xb8\xba\xbb\xbf-\u024f]*"
 #: Pre-tokens that each worker keeps: seen twice, seen once; and their longest length in characters.
 CACHE_ENTRIES, CACHE_ONCE, CACHE_CHARS = 400_000, 250_000, 48
+#: Pairs of tokens of which each worker remembers whether they stay apart; the results don't depend on it.
+STABLE_ENTRIES = 1 << 16
 #: Characters of a text that are split at once.
 SEGMENT_CHARS = 1 << 18
 
@@ -123,7 +125,7 @@ class MergeList:
                         break
                 if not known:
                     break
-            if len(self.known_stable) > 600_000:
+            if len(self.known_stable) >= STABLE_ENTRIES:
                 self.known_stable.clear()
             self.known_stable[key] = known
         return known
@@ -292,16 +294,13 @@ class Tokenizer:
         return d.feed(ids) + d.finish()
 
 
-_ready: dict[bytes, Tokenizer] = {}
-
-
 def tokenizer(blob: bytes) -> Tokenizer:
-    """One for each worker and file, with its cache."""
+    """One for each worker and file, with its cache, until a task of another operator comes."""
     key = hashlib.sha256(blob).digest()
-    if key not in _ready:
-        _ready.clear()
-        _ready[key] = Tokenizer(blob)
-    return _ready[key]
+    if key not in ta.kept:
+        ta.kept.clear()
+        ta.kept[key] = Tokenizer(blob)
+    return ta.kept[key]
 
 
 def digests(tok: Tokenizer, text: str, parts: list[bytes] | None = None, decoded: list[str] | None = None) -> tuple[int, str, str]:
@@ -356,6 +355,6 @@ def encode_decode(docs: DataFrame, path: str, *, key: str = "doc_id", text: str
                     whole_ids = np.frombuffer(b"".join(x for parts in flat for x in parts), np.int32)
                     cols += [ta.list_array(whole_ids, ends), pa.array([None if x is None else "".join(x) for x in plain], pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
-        ta.release()
+            ta.release()
 
     return rows.mapInArrow(run, schema)

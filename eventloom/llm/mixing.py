@@ -22,7 +22,8 @@ from __future__ import annotations
 import heapq
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import settle
@@ -75,6 +76,11 @@ def sainte_lague(votes: list[float], seats: int, caps: list[int] | None = None)
     return out
 
 
+def _table(spark: SparkSession, rows: list[tuple], **columns: pa.DataType) -> DataFrame:
+    """Rows of the driver go to the JVM as Arrow; a list of them would start Python workers in every executor, which stay."""
+    return spark.createDataFrame(pa.table([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(columns.values())], names=list(columns)))
+
+
 def _small(table: DataFrame, rows: int) -> DataFrame:
     """A table of the driver, of a known number of rows: broadcast up to a bound, else joined by a sort, whose hot keys are split."""
     return F.broadcast(table) if rows <= BROADCAST_ROWS else table.hint("merge")
@@ -100,7 +106,7 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     total = sum(sizes)
     quotas = dict(zip(order, sainte_lague(aims, round(sum(aims) / BLOCK))))
     count = {s: max(1, min(-(-found[s] // SHARD_WORDS), SHARDS * found[s] // max(total, 1))) for s in order}
-    by_source = spark.createDataFrame([(s, found[s], t, count[s]) for s, t in zip(order, aims)], "source string, source_size bigint, target double, shards bigint")
+    by_source = _table(spark, [(s, found[s], t, count[s]) for s, t in zip(order, aims)], source=pa.string(), source_size=pa.int64(), target=pa.float64(), shards=pa.int64())
     placed = sized.join(_small(by_source, len(order)), "source").withColumn("tie", F.xxhash64("key", F.lit(seed))).withColumn("shard", F.pmod("tie", "shards"))
     shards: dict[str, list[tuple[int, int]]] = {}
     for r in placed.groupBy("source", "shard").agg(F.sum("size").alias("size")).collect():
@@ -111,7 +117,7 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
         blocks = [-(-z // BLOCK) for _, z in own]
         for (k, z), n, q in zip(own, blocks, sainte_lague([z for _, z in own], quotas[s], [int(REPEATS) * n for n in blocks])):
             dealt.append((s, k, z, n, q))
-    quota = spark.createDataFrame(dealt, "source string, shard bigint, shard_size bigint, blocks bigint, quota bigint")
+    quota = _table(spark, dealt, source=pa.string(), shard=pa.int64(), shard_size=pa.int64(), blocks=pa.int64(), quota=pa.int64())
     in_shard = Window.partitionBy("source", "shard").orderBy(F.xxhash64("tie", F.lit(seed)), "key", "size")
     df = placed.join(_small(quota, len(dealt)), ["source", "shard"]).withColumn("end", F.sum("size").over(in_shard.rowsBetween(Window.unboundedPreceding, 0)))
     n = F.greatest("blocks", F.lit(1))

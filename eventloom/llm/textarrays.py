@@ -33,6 +33,17 @@ def release() -> None:
         pass  # another C library
 
 
+#: What an operator keeps in a worker from task to task.
+kept: dict = {}
+
+
+def only_now() -> None:
+    """A task begins that keeps nothing: what another operator kept in this worker goes."""
+    if kept:
+        kept.clear()
+        release()
+
+
 def splitmix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, elementwise on uint64."""
     x = x + _U(0x9E3779B97F4A7C15)

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textarrays as ta
 from .neighbours import fitting_rows, held_out
 
 FIT_ROWS = 6000
@@ -178,10 +179,12 @@ def classify(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: s
     sample = fitting_rows(docs, labels, label, key=key, text=text, folds=folds, limit=fit_rows).select("text", "label")
 
     def beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ta.only_now()
         for b in batches:
             for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 seen = {w[:n] for w in set(WORD.findall((t or "").lower())) for n in range(SHORTEST, min(len(w), LONGEST) + 1)}
                 yield pa.RecordBatch.from_arrays([pa.array(["", *seen], pa.string()), pa.array([y] * (len(seen) + 1), pa.int32())], names=["term", "label"])
+        ta.release()
 
     counted = sample.mapInArrow(beginnings, "term string, label int").groupBy("term").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
     totals = {r["term"]: (r["a"], r["b"]) for r in counted.where("term = ''").collect()}
@@ -217,10 +220,12 @@ def classify(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: s
         return np.where(p < 1e-12, 0.0, p)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ta.only_now()
         terms, scales, w, bias = model.value
         g = Grammar(terms, scales)
         for b in batches:
             yield b.filter(pa.array(scores(g, b.column(b.schema.names.index(text)), w, bias) < threshold))
+            ta.release()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, scales, w, bias = model.value

@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer as Reference
 
-from eventloom.llm import bpe, hmm, mixing, multimatch, neighbours, phrases, quality_rules, style_tree, toxicity, url_filter
+from eventloom.llm import bpe, hmm, mixing, multimatch, neighbours, phrases, quality_rules, style_tree, textarrays, toxicity, url_filter
 from eventloom.llm.components import connected_components
 from eventloom.llm.queries import URL_RULES
 
@@ -472,6 +472,23 @@ def test_bpe_any_text(text, more):
         assert _TOK.decode(part) == _REF.decode(part, skip_special_tokens=False)
 
 
+def test_mixing_starts_no_python_workers(spark, docs):
+    plan = mixing.apply_mix(docs)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"LocalTableScan \[[^\]]*shard_size", plan)
+    assert not re.search(r"Scan ExistingRDD\[[^\]]*(shards|shard_size)", plan)
+
+
+def test_bpe_state_of_a_worker_is_bounded_and_goes_with_the_next_operator():
+    tok = bpe.tokenizer(bpe.vocabulary(PATH))
+    assert tok is bpe.tokenizer(bpe.vocabulary(PATH)) and textarrays.kept
+    for a in range(300):
+        for b in range(300):
+            tok.merges.stable(a, b)
+    assert len(tok.merges.known_stable) <= 1 << 16
+    textarrays.only_now()
+    assert not textarrays.kept
+
+
 def test_bpe_streams_in_bounded_memory():
     data = ("ab" * 40_000 + "thing" * 9000).encode()
     e = bpe.Encoder(_TOK.merges)

@@ -48,14 +48,14 @@ def drop_seen_links(df: DataFrame, by: list[str], order: str, first: str, second
 
 def drop_repeats(df: DataFrame, by: list[str], order: str, payload: str, kind: str) -> DataFrame:
     """Each row against those kept before it; adds duplicate_of, method and score, null where it is kept."""
-    rule = sim.JUDGES[kind]
+    rule, read = sim.JUDGES[kind], sim.READS[kind]
     id_kind = df.schema[order].dataType.simpleString()
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable")
         kept: list[tuple] = []
         out = []
-        for key, p in zip(rows[order], rows[payload]):
+        for key, p in zip(rows[order], map(read, rows[payload])):
             hit = next(((k, *v[1:]) for k, q in kept if (v := rule(p, q))[0]), None)
             if hit is None:
                 kept.append((key, p))
@@ -107,9 +107,10 @@ def past_match(candidates: DataFrame, past: DataFrame, *, ident: str, payload: s
     right = past.select(*by, F.col(past_order).alias("past"), F.col(past_payload).alias("payload")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
 
     def run(mine: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
-        known = list(stored.sort_values("past", kind="stable")[["past", "payload"]].itertuples(index=False, name=None))
+        stored = stored.sort_values("past", kind="stable")
+        known = list(zip(stored["past"], map(sim.history, stored["payload"])))
         out = []
-        for row, c in zip(mine[[*by, ident]].itertuples(index=False, name=None), mine["payload"]):
+        for row, c in zip(mine[[*by, ident]].itertuples(index=False, name=None), map(sim.history, mine["payload"])):
             hit = next(((o, v[1]) for o, p in known if (v := sim.judge_history(c, p))[0]), None)
             if hit:
                 out.append((*row, *hit))
@@ -131,7 +132,7 @@ def drop_repeats_of_run(df: DataFrame, by: list[str], section: str, order: str,
         urls: dict[str, object] = {}
         kept: list[tuple] = []
         out = []
-        for key, url, p in zip(rows[order], rows[url_key].fillna(""), rows[payload]):
+        for key, url, p in zip(rows[order], rows[url_key].fillna(""), map(sim.history, rows[payload])):
             if url and url in urls:
                 out.append((urls[url], "final_internal_url", 1.0))
                 continue

@@ -309,3 +309,20 @@ def test_streams_keep_state_across_batches(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["url_key"] for r in spark.table("first").collect()) == ["a.kr/1", "m.a.kr/1"]
+
+
+def test_unlike_texts_are_not_compared_letter_by_letter(monkeypatch):
+    """Bodies of the same letters in another order: the bounds alone tell that they are unlike, at each place of the text."""
+    r = random.Random(8)
+    syllables = ["the", "on", "er", "ti", "an", "es", "wh", "ha", "re", "in"]
+    bodies = ["".join(r.choice(syllables) for _ in range(70)) for _ in range(12)]
+    full = []
+    plain_matcher = sim.SequenceMatcher
+    monkeypatch.setattr(sim, "SequenceMatcher", lambda *a: full.append(a) or plain_matcher(*a))
+    for a in bodies:
+        for b in bodies:
+            least = plain_matcher(None, a, b).ratio()
+            assert sim.ratio(a, b, 0.9) == (1.0 if a == b else 0.0) or least >= 0.9
+            assert sim.ratio(a, b, least) == least
+    full.clear()
+    assert [sim.ratio(a[:150], b[:150], 0.9) for a in bodies for b in bodies if a != b] == [0.0] * 132 and not full

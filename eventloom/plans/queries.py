@@ -104,10 +104,13 @@ def fingerprints(spark, sf):
  SELECT a.ord AS ord, len(list_intersect(a.tokens, b.tokens)) AS common, round(CASE WHEN least(len(a.tokens), len(b.tokens)) > 0 THEN len(list_intersect(a.tokens, b.tokens)) / least(len(a.tokens), len(b.tokens)) ELSE 0.0 END, 6) AS overlap,
  bit_count(xor(('0x' || a.h)::UBIGINT, ('0x' || b.h)::UBIGINT))::BIGINT AS distance FROM t a JOIN t b ON b.ord = a.ord + 1""")
 def neighbour_overlap(spark, sf):
-    t = articles(spark, sf).select("ord", tx.cluster_tokens(F.concat_ws(" ", "title", "body")).alias("t"))
-    t = t.withColumn("h", F.substring(F.md5(F.array_join("t", " ").cast("binary")), 1, 16))
-    b = t.select((F.col("ord") - 1).alias("ord"), F.col("t").alias("t2"), F.col("h").alias("h2"))
-    return t.join(b, "ord").select("ord", sim.common(F.col("t"), F.col("t2")).alias("common"), F.round(sim.overlap(F.col("t"), F.col("t2")), 6).alias("overlap"), sim.hamming(F.col("h"), F.col("h2")).alias("distance"))
+    # A text's tokens are found once: they go to its own place and, as the next text's, to the one before.
+    t = articles(spark, sf).select("ord", plain.one_pass(plain.tokens_and_hash, {"t": "array<string>", "h": "string"}, F.col("title"), F.col("body")).alias("x"))
+    places = F.explode(F.array(F.struct("ord", F.lit(0).alias("side")), F.struct((F.col("ord") - 1).alias("ord"), F.lit(1).alias("side"))))
+    t = t.select("x", places.alias("p")).groupBy("p.ord").agg(*(F.collect_list(F.when(F.col("p.side") == i, F.col("x"))).alias(s) for i, s in enumerate("ab")))
+    t = t.where((F.size("a") > 0) & (F.size("b") > 0)).select("ord", F.explode("a").alias("a"), "b").select("ord", "a", F.explode("b").alias("b"))
+    t = t.select("ord", "a.t", "a.h", F.col("b.t").alias("t2"), F.col("b.h").alias("h2"))
+    return t.select("ord", sim.common(F.col("t"), F.col("t2")).alias("common"), F.round(sim.overlap(F.col("t"), F.col("t2")), 6).alias("overlap"), sim.hamming(F.col("h"), F.col("h2")).alias("distance"))
 
 
 _HIST = f"""(SELECT *, {dk.ordered_distinct('raw')}[1:80] AS tokens FROM (SELECT *, {_tokens_sql(dk.normalize_compare("title || ' ' || body", True), tx.lx.HISTORY_STOPWORDS, 80, True)} AS raw FROM {ARTICLES_SQL}))"""

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from eventloom.functions import plain
 from eventloom.functions import similarity as sim
+from eventloom.functions import text as tx
 from eventloom.operators import articles as ar
 from eventloom.operators import groups as gr
 from eventloom.operators import ordered, sampling
@@ -326,3 +327,35 @@ def test_unlike_texts_are_not_compared_letter_by_letter(monkeypatch):
             assert sim.ratio(a, b, least) == least
     full.clear()
     assert [sim.ratio(a[:150], b[:150], 0.9) for a in bodies for b in bodies if a != b] == [0.0] * 132 and not full
+
+
+@pytest.mark.parametrize("name", ["text_keys", "cluster_tokens", "fingerprints", "neighbour_overlap", "anchors_and_numbers"])
+def test_texts_are_read_once_in_one_pass(spark, name):
+    """A text's rules run once for a row, and not token by token as nested columns."""
+    plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Scan parquet") == 1 and plan.count("ArrowEvalPython") == 1 and "regexp_extract_all" not in plan and "regexp_replace" not in plan
+
+
+def test_text_rules_in_one_pass_are_those_of_the_columns(spark):
+    odd = ["a\x1cb \x1d c", "\x85x  y　", "a [b] 【c】 (d) … 2024년 1월 2일 e-f", "<i>x</i> < y &lt;b&gt; &#39;", "x" * 300 + " 가나에서 12 345.6 AI의"]
+    df = spark.createDataFrame([(a, b) for a in KOREAN + odd for b in KOREAN + odd], "title string, body string")
+    t, b = F.col("title"), F.col("body")
+    whole = F.concat_ws(" ", t, b)
+    rules = {
+        plain.text_keys: {"x": tx.normalize_title(t), "y": tx.normalize_compare(b), "z": tx.compact(b, True)},
+        plain.joined_tokens: {"x": F.array_join(tx.cluster_tokens(whole), " ")},
+        plain.fingerprint: {"x": sim.simhash(tx.cluster_tokens(whole))},
+        plain.tokens_and_hash: {"x": F.array_join(tx.cluster_tokens(whole), " "), "y": F.substring(F.md5(F.array_join(tx.cluster_tokens(whole), " ").cast("binary")), 1, 16)},
+        plain.anchors_and_numbers: {"x": F.array_join(tx.history_anchors(tx.history_tokens(whole)), " "), "y": F.array_join(tx.numbers(whole), " ")},
+    }
+    for rule, columns in rules.items():
+        for r in df.select(t, b, *(c.alias(k) for k, c in columns.items())).collect():
+            got = [" ".join(x) if isinstance(x, list) else x for x in rule(r["title"], r["body"]) if not isinstance(x, int)]
+            assert got == list(r)[2:], rule
+
+
+def test_neighbours_are_all_pairs_of_places(spark, tmp_path):
+    """Gaps have no pair, and a place that is taken twice has one for each text, as in the join."""
+    rows_ = [(1, "alpha beta gamma"), (2, "alpha beta delta"), (2, "gamma"), (4, "alpha"), (5, None)]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in rows_], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r[:2] for r in rows(QUERIES["neighbour_overlap"](spark, str(tmp_path)))] == [(1, 1), (1, 2), (4, 0)]

@@ -97,7 +97,8 @@ def cluster_tokens(spark, sf):
 
 @query(f"SELECT ord, {dk.simhash('tokens')} AS fingerprint FROM {_TOKENS}")
 def fingerprints(spark, sf):
-    return articles(spark, sf).select("ord", sim.simhash(tx.cluster_tokens(F.concat_ws(" ", "title", "body"))).alias("fingerprint"))
+    found = plain.one_pass(plain.fingerprint, {"fingerprint": "string"}, F.col("title"), F.col("body"))
+    return articles(spark, sf).select("ord", found["fingerprint"].alias("fingerprint"))
 
 
 @query(f"""WITH t AS (SELECT ord, tokens, md5(coalesce(array_to_string(tokens, ' '), ''))[1:16] AS h FROM {_TOKENS})

@@ -92,7 +92,8 @@ _TOKENS = f"(SELECT *, {dk.ordered_distinct('raw')}[1:80] AS tokens FROM (SELECT
 
 @query(f"SELECT ord, array_to_string(tokens, ' ') AS tokens, len(tokens) AS n FROM {_TOKENS}")
 def cluster_tokens(spark, sf):
-    return articles(spark, sf).select("ord", tx.cluster_tokens(F.concat_ws(" ", "title", "body")).alias("t")).select("ord", F.array_join("t", " ").alias("tokens"), F.size("t").cast("bigint").alias("n"))
+    found = plain.one_pass(plain.joined_tokens, {"tokens": "string", "n": "bigint"}, F.col("title"), F.col("body"))
+    return articles(spark, sf).select("ord", found.alias("t")).select("ord", "t.*")
 
 
 @query(f"SELECT ord, {dk.simhash('tokens')} AS fingerprint FROM {_TOKENS}")

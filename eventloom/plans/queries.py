@@ -122,8 +122,8 @@ _ANCHOR = f"list_filter(list_transform(tokens, lambda t: {dk.normalize_token('t'
 @query(f"""WITH h AS (SELECT ord, tokens, {_ANCHOR} AS a, title || ' ' || body AS txt FROM {_HIST})
  SELECT ord, array_to_string({dk.ordered_distinct('a')}[1:20], ' ') AS anchors, array_to_string(list_sort(list_distinct(regexp_extract_all(txt, '[0-9]+(?:\\.[0-9]+)?'))), ' ') AS numbers FROM h""")
 def anchors_and_numbers(spark, sf):
-    both = F.concat_ws(" ", "title", "body")
-    return articles(spark, sf).select("ord", F.array_join(tx.history_anchors(tx.history_tokens(both)), " ").alias("anchors"), F.array_join(tx.numbers(both), " ").alias("numbers"))
+    found = plain.one_pass(plain.anchors_and_numbers, {"anchors": "string", "numbers": "string"}, F.col("title"), F.col("body"))
+    return articles(spark, sf).select("ord", found.alias("x")).select("ord", "x.*")
 
 
 @query(f"SELECT page_id, {dk.page_key('url')} AS page_key, {dk.link_key('url')} AS link_key, {dk.host('url')} AS host FROM pages")

@@ -78,7 +78,8 @@ def html_text(spark, sf):
 
 @query(f"SELECT ord, {dk.normalize_title('title')} AS title_key, {dk.normalize_compare('body')} AS compare_text, {dk.gsub(dk.normalize_compare('body', True), dk.SPACES + '+', '')} AS compact_text FROM {ARTICLES_SQL}")
 def text_keys(spark, sf):
-    return articles(spark, sf).select("ord", tx.normalize_title(F.col("title")).alias("title_key"), tx.normalize_compare(F.col("body")).alias("compare_text"), tx.compact(F.col("body"), True).alias("compact_text"))
+    keys = plain.one_pass(plain.text_keys, {"title_key": "string", "compare_text": "string", "compact_text": "string"}, F.col("title"), F.col("body"))
+    return articles(spark, sf).select("ord", keys.alias("k")).select("ord", "k.*")
 
 
 def _tokens_sql(text: str, stopwords, limit: int, actions: bool = False) -> str:

@@ -359,3 +359,25 @@ def test_neighbours_are_all_pairs_of_places(spark, tmp_path):
     rows_ = [(1, "alpha beta gamma"), (2, "alpha beta delta"), (2, "gamma"), (4, "alpha"), (5, None)]
     spark.createDataFrame([(i, t, "en", "s") for i, t in rows_], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     assert [r[:2] for r in rows(QUERIES["neighbour_overlap"](spark, str(tmp_path)))] == [(1, 1), (1, 2), (4, 0)]
+
+
+def test_rows_of_a_group_come_in_order_without_frames(spark):
+    """Nulls are last, newest first; and no group becomes a data frame."""
+    p = "named_struct('title_key', t, 'body_key', t, 'title_tokens', split(t, ' '), 'tokens', split(t, ' '), 'anchors', split(t, ' '), 'numbers', array(''), 'fingerprint', '', 'url_key', t)"
+    df = spark.createDataFrame([("a", 2, None, "one"), ("a", 1, None, "two"), ("a", 3, dt.datetime(2024, 1, 2), "one"), ("a", 4, dt.datetime(2024, 1, 3), "three"), ("b", 5, None, "one")], "s string, o long, at timestamp_ntz, t string").withColumn("p", F.expr(p))
+    found = ordered.cluster(df, ["s"], "o", "at", "p")
+    assert rows(found.select("s", "o", "group_id")) == [("a", 1, "G003"), ("a", 2, "G002"), ("a", 3, "G002"), ("a", 4, "G001"), ("b", 5, "G001")]
+    kept = ordered.drop_repeats(df, ["s"], "o", "p", "final")
+    assert [r[:3] for r in rows(kept.select("s", "o", F.coalesce("duplicate_of", F.lit(0))))] == [("a", 1, 0), ("a", 2, 0), ("a", 3, 2), ("a", 4, 0), ("b", 5, 0)]
+    picked = ordered.pick_with_supplement(df, ["s"], "o", "p", 2)
+    assert rows(picked) == [("a", 1, 1), ("a", 2, 2), ("b", 5, 1)]
+    for x in (found, kept, picked):
+        assert "InPandas" not in x._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_a_worker_keeps_of_tokens_is_bounded():
+    """Ever new tokens of many texts don't fill a worker's memory."""
+    for i in range(3 * plain._KNOWN):
+        plain.strip_particle(f"t{i}")
+    caches = [f.cache_info() for f in vars(plain).values() if hasattr(f, "cache_info")]
+    assert len(caches) >= 5 and max(c.currsize for c in caches) <= 1 << 15 and sum(c.maxsize for c in caches) <= 1 << 18

@@ -148,25 +148,28 @@ def drop_repeats_of_run(df: DataFrame, by: list[str], section: str, order: str,
     A run is one task: it holds the few rows that were selected.  Adds duplicate_of,
     method and score, null where the row is kept.
     """
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([section, order], kind="stable")
+    own = itemgetter(*by, section, order)
+
+    def run(rows: list[dict]) -> list[tuple]:
         urls: dict[str, object] = {}
         kept: list[tuple] = []
         out = []
-        for key, url, p in zip(rows[order], rows[url_key].fillna(""), map(sim.history, rows[payload])):
+        for r in _sorted(rows, section, order):
+            key, url = r[order], r[url_key]
             if url and url in urls:
-                out.append((urls[url], "final_internal_url", 1.0))
+                out.append((*own(r), urls[url], "final_internal_url", 1.0))
                 continue
+            p = sim.history(r[payload])
             hit = next(((k, f"final_{v[1]}", v[2]) for k, q in kept if (v := sim.judge_history(p, q))[0]), None)
-            out.append(hit or (None, None, None))
+            out.append((*own(r), *(hit or (None, None, None))))
             if hit is None:
                 kept.append((key, p))
                 if url:
                     urls[url] = key
-        return pd.concat([rows[[*by, section, order]].reset_index(drop=True), pd.DataFrame(out, columns=["duplicate_of", "method", "score"])], axis=1)
+        return out
 
     schema = ", ".join([*(_kind(df, c) for c in (*by, section, order)), f"duplicate_of {df.schema[order].dataType.simpleString()}", "method string", "score double"])
-    return _apply(df.select(*by, section, order, url_key, payload), by, schema, run)
+    return _apply_rows(df.select(*by, section, order, url_key, payload), by, schema, run)
 
 
 def shortlist(df: DataFrame, by: list[str], *, group: str, keywords: str, rank: str, newest: str, final_limit: int, target: int) -> DataFrame:

@@ -203,18 +203,16 @@ def shortlist(df: DataFrame, by: list[str], *, group: str, keywords: str, rank:
 
 def pick_with_supplement(df: DataFrame, by: list[str], order: str, payload: str, limit: int, *, supplement: bool = True) -> DataFrame:
     """The first ``limit`` rows without repeats among them; with ``supplement`` later rows fill what repeats left free."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
+    own = itemgetter(*by, order)
+
+    def run(rows: list[dict]) -> list[tuple]:
         kept: list[tuple] = []
-        for i, (key, p) in enumerate(zip(rows[order], rows[payload])):
+        for i, r in enumerate(_sorted(rows, order)):
             if len(kept) >= limit or (i >= limit and not supplement):
                 break
-            if not any(sim.judge_final(p, q)[0] for _, q in kept):
-                kept.append((key, p))
-        out = pd.DataFrame({order: [k for k, _ in kept], "place": range(1, len(kept) + 1)})
-        for c in by:
-            out[c] = rows[c].iloc[0]
-        return out[[*by, order, "place"]]
+            if not any(sim.judge_final(r[payload], q)[0] for _, q in kept):
+                kept.append((own(r), r[payload]))
+        return [(*k, place) for place, (k, _) in enumerate(kept, 1)]
 
     schema = ", ".join([*(_kind(df, c) for c in by), _kind(df, order), "place bigint"])
-    return _apply(df.select(*by, order, payload), by, schema, run)
+    return _apply_rows(df.select(*by, order, payload), by, schema, run)

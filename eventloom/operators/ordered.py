@@ -93,11 +93,14 @@ def cluster(df: DataFrame, by: list[str], order: str, published: str, payload: s
 
     Returns by, order, group_id, method and score; the methods' scores are compared as they are.
     """
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values([published, order], ascending=[False, True], kind="stable")
+    own = itemgetter(*by, order)
+
+    def run(rows: list[dict]) -> list[tuple]:
+        rows = sorted(_sorted(rows, order), key=lambda r: (r[published] is not None, r[published]), reverse=True)
         groups: list[list[dict]] = []
         out = []
-        for p in rows[payload]:
+        for r in rows:
+            p = r[payload]
             best, at = sim.NO, -1
             for g, members in enumerate(groups):
                 for q in members[:COMPARED_MEMBERS]:
@@ -106,14 +109,14 @@ def cluster(df: DataFrame, by: list[str], order: str, published: str, payload: s
                         best, at = v, g
             if at < 0:
                 groups.append([p])
-                out.append((f"G{len(groups):03d}", "seed", 1.0))
+                out.append((*own(r), f"G{len(groups):03d}", "seed", 1.0))
             else:
                 groups[at].append(p)
-                out.append((f"G{at + 1:03d}", best[1], best[2]))
-        return pd.concat([rows[[*by, order]].reset_index(drop=True), pd.DataFrame(out, columns=["group_id", "method", "score"])], axis=1)
+                out.append((*own(r), f"G{at + 1:03d}", best[1], best[2]))
+        return out
 
     schema = ", ".join([*(_kind(df, c) for c in by), _kind(df, order), "group_id string", "method string", "score double"])
-    return _apply(df.select(*by, order, published, payload), by, schema, run)
+    return _apply_rows(df.select(*by, order, published, payload), by, schema, run)
 
 
 def past_match(candidates: DataFrame, past: DataFrame, *, ident: str, payload: str, past_order: str, past_payload: str, by: list[str], spread: int = 64) -> DataFrame:

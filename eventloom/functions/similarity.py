@@ -196,10 +196,12 @@ class Side:
         return self._needs[n]
 
 
-def _soft(left: Side, right: Side) -> list[str]:
-    """The greedy matches; only tokens that share enough letter pairs are compared."""
+def _soft(left: Side, right: Side, least: float = 0) -> list[str]:
+    """The greedy matches; only tokens that share enough letter pairs are compared, and where ``least`` can't be reached, only some."""
     places, free, out = right.places, -1, []
-    for a, form in zip(left.tokens, left.forms):
+    for rest, a, form in zip(range(len(left.tokens), 0, -1), left.tokens, left.forms):
+        if len(out) + rest < least:
+            break
         c1 = c2 = c3 = c4 = 0
         for x in _marks(form):
             if x in places:
@@ -305,11 +307,11 @@ def history(p: dict | History) -> History:
     return p if isinstance(p, History) else History(p)
 
 
-def _overlaps(a: frozenset, b: frozenset, left: Callable[[], Side], right: Callable[[], Side]) -> tuple[float, int]:
-    """The larger share and the larger count of hard and soft matches."""
+def _overlaps(a: frozenset, b: frozenset, left: Callable[[], Side], right: Callable[[], Side], least: float = 0.0) -> tuple[float, int]:
+    """The larger share and the larger count of hard and soft matches; both may be less than they are where the share is below ``least``."""
     if not a or not b:
         return 0.0, 0
-    n = max(len(a & b), len(_soft(left(), right())))
+    n = max(len(a & b), len(_soft(left(), right(), least * min(len(a), len(b)) - 1e-9)))
     return n / min(len(a), len(b)), n
 
 
@@ -349,7 +351,9 @@ def judge_history(c: dict | History, p: dict | History, t: HistoryThresholds = H
     if strong < 2 and body < t.text:
         return NO
     d = distance(c.fingerprint, p.fingerprint)
-    o, n = _overlaps(c.tokens, p.tokens, lambda: c.token_side, lambda: p.token_side)
+    # Unlike bodies and fingerprints leave the rule of shares.
+    only_share = body < min(0.76, t.text) and (d is None or d > t.simhash)
+    o, n = _overlaps(c.tokens, p.tokens, lambda: c.token_side, lambda: p.token_side, max(t.overlap, 0.70) if only_share else 0.0)
     for name, holds, score in (
         ("text_similarity", body >= t.text and n >= t.common and strong >= 1, body),
         ("text_similarity_anchor", body >= 0.76 and n >= 5 and strong >= 2, body),

@@ -130,19 +130,23 @@ def past_match(candidates: DataFrame, past: DataFrame, *, ident: str, payload: s
     left = candidates.select(*by, ident, F.col(payload).alias("payload")).withColumn("salt", F.pmod(F.xxhash64(ident), F.lit(spread)).cast("int"))
     right = past.select(*by, F.col(past_order).alias("past"), F.col(past_payload).alias("payload")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
 
-    def run(mine: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
-        stored = stored.sort_values("past", kind="stable")
-        known = list(zip(stored["past"], map(sim.history, stored["payload"])))
+    own = itemgetter(*by, ident)
+
+    def run(mine: pa.Table, stored: pa.Table) -> pa.Table:
+        known = [(r["past"], sim.history(r["payload"])) for r in _sorted(stored.to_pylist(), "past")]
         out = []
-        for row, c in zip(mine[[*by, ident]].itertuples(index=False, name=None), map(sim.history, mine["payload"])):
-            hit = next(((o, v[1]) for o, p in known if (v := sim.judge_history(c, p))[0]), None)
-            if hit:
-                out.append((*row, *hit))
-        return pd.DataFrame(out, columns=[*by, ident, "matched_order", "method"])
+        for at in range(0, len(mine) if known else 0, 500):
+            for r in mine.slice(at, 500).to_pylist():
+                c = sim.history(r["payload"])
+                hit = next(((o, v[1]) for o, p in known if (v := sim.judge_history(c, p))[0]), None)
+                if hit:
+                    out.append((*own(r), *hit))
+        return _table(out, arrow)
 
     schema = ", ".join([*(_kind(candidates, c) for c in by), _kind(candidates, ident), f"matched_order {past.schema[past_order].dataType.simpleString()}", "method string"])
+    arrow = to_arrow_schema(T.StructType.fromDDL(schema))
     key = [*by, "salt"]
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(run, schema)
+    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(run, schema)
 
 
 def drop_repeats_of_run(df: DataFrame, by: list[str], section: str, order: str, url_key: str, payload: str) -> DataFrame:
